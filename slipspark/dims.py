@@ -17,7 +17,6 @@ MODES = ("pingma", "lianma", "fushi")
 
 # Words around an amount.
 AMOUNT_WORDS = ("各下", "各押", "各买", "各", "下", "押", "买")
-PER_NUMBER_WORDS = ("一个号", "个号", "每个号", "每号", "各号")
 PER_GROUP_WORDS = ("每组", "各组", "一组", "每一组", "各一组", "出", "组", "各", "下", "押", "买")
 
 # Status texts.

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from slipspark import dims
+from slipspark.functions.lets import let
 from slipspark.functions.text import AMOUNT, JS_WS, amount_of, js_trim
 
 # A whole digit run whose value is 1..49, leading zeros allowed.
@@ -41,16 +42,19 @@ def zodiac_numbers(zodiac: Column, order: str = dims.ZODIAC_ORDER) -> Column:
 
 
 def bettor_name(line: Column, index: Column) -> Column:
-    found = F.regexp_extract(line, _NAME, 1)
-    return F.when(found == "", F.concat(F.lit("第"), (index + 1).cast("string"), F.lit("行"))).otherwise(found)
+    numbered = F.concat(F.lit("第"), (index + 1).cast("string"), F.lit("行"))
+    return let(F.regexp_extract(line, _NAME, 1), lambda found: F.when(found == "", numbered).otherwise(found))
 
 
 def play_of(line: Column) -> Column:
     """Play named on a line, or ''."""
-    pair = F.regexp_extract(line, "二中[二三]", 0)
+    two, three = line.contains("二中二"), line.contains("二中三")
     return (
-        F.when(line.contains("复四三"), F.lit("复四三"))
-        .when(pair != "", pair)
+        F.when(~line.contains("中") & ~line.contains("复四三"), F.lit(""))
+        .when(line.contains("复四三"), F.lit("复四三"))
+        .when(two & three, F.regexp_extract(line, "二中[二三]", 0))
+        .when(two, F.lit("二中二"))
+        .when(three, F.lit("二中三"))
         .when(line.contains("三中三"), F.lit("三中三"))
         .otherwise(F.lit(""))
     )

@@ -27,19 +27,29 @@ from slipspark.functions.tokens import (
 )
 
 _AW = "|".join(dims.AMOUNT_WORDS)
-_PW = "|".join(dims.PER_NUMBER_WORDS)
 _GW = "|".join(dims.PER_GROUP_WORDS)
 _Z = f"[{dims.ZODIAC_ORDER}]"
 _WS = f"[{JS_WS}]*"
 
 # Fixed patterns of the bet language.
 SLASH_BET = rf"([^/\r\n]+?)/{_WS}(\d+)"
-CHINESE_BET = rf"([^，,。；;\r\n]+?){_WS}(?:{_PW})?{_WS}(?:{_AW}){_WS}(\d+(?:\.\d+)?){_WS}元?"
+# Every amount word ends in one of these characters, each of which is an amount word itself, and no word holds a digit:
+# so the last character before the amount decides, and words left of it may count as text. Stepping over other
+# characters possessively keeps the scan from backing up.
+_AW_END = "[各下押买]"
+CHINESE_BET = (
+    rf"([^，,。；;\r\n](?:[^，,。；;\r\n各下押买]|{_AW_END}(?!{_WS}\d))*+){_AW_END}{_WS}(\d+(?:\.\d+)?)"
+)
 ZODIAC_BET = rf"(?:^|[，,。；;{JS_WS}])({_Z}){_WS}(?:{_AW})?{_WS}(\d+(?:\.\d+)?){_WS}元?"
 INLINE_POOL = rf"(?:二中[二三]|三中三){_WS}[^/，,。；;\r\n]+?/{_WS}\d+(?:\.\d+)?"
 ZODIAC_POOL = rf"^({_Z}{{4}}){_WS}复四三{_WS}(?:{_GW})?{_WS}(\d+(?:\.\d+)?|[{dims.CN_DIGITS}两十]+){_WS}元?\z"
 YUAN_AMOUNT = rf"([\s\S]*?)(\d+)({_WS}元)"
 
+GROUPS = (
+    "array<struct<family:string,kind:string,user_name:string,play:string,label:string,numbers:array<int>,"
+    "combos:array<array<int>>,zodiacs:array<string>,zodiac_combos:array<array<string>>,amount:decimal(28,4),"
+    "combo_count:bigint,bet_amount:decimal(38,4),pick:int,odds:int>>"
+)
 BETS = "array<struct<family:string,label:string,numbers:array<int>,amount:decimal(28,4)>>"
 
 
@@ -60,10 +70,9 @@ def _bets(family: str, heads: Column, amounts: Column, numbers_of=numbers_in, la
 
 def _matched(text: Column, guard: Column, pattern: str, family: str, **kinds) -> Column:
     # The guard is a cheap necessary condition; without it the lazy patterns rescan long prose from every position.
-    source = F.when(guard, text).otherwise(F.lit(""))
-    heads = F.regexp_extract_all(source, F.lit(pattern), F.lit(1))
-    amounts = F.regexp_extract_all(source, F.lit(pattern), F.lit(2))
-    return _bets(family, heads, amounts, **kinds)
+    heads = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    amounts = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+    return F.when(guard, _bets(family, heads, amounts, **kinds)).otherwise(empty(BETS))
 
 
 def slash_bets(line: Column, family: str = "slash") -> Column:
@@ -71,7 +80,7 @@ def slash_bets(line: Column, family: str = "slash") -> Column:
 
 
 def chinese_bets(line: Column) -> Column:
-    return _matched(line, line.rlike(r"[各下押买]"), CHINESE_BET, "cn")
+    return _matched(line, line.rlike(rf"{_AW_END}{_WS}\d"), CHINESE_BET, "cn")
 
 
 def zodiac_bets(line: Column) -> Column:
@@ -137,8 +146,11 @@ def line_groups(text: Column, families: tuple[str, ...] = ("slash", "cn", "zodia
     """Straight bets read line by line; groups of one line are numbered across the families."""
 
     def of_line(line: Column, index: Column) -> Column:
-        bets = F.concat(*[_LINE_FAMILIES[family](line) for family in families])
-        return F.transform(bets, lambda bet, k: _straight(bet, _suffixed(bettor_name(line, index), k)))
+        found = F.struct(
+            F.concat(*[_LINE_FAMILIES[family](line) for family in families]).alias("bets"),
+            bettor_name(line, index).alias("name"),
+        )
+        return let(found, lambda f: F.transform(f.bets, lambda bet, k: _straight(bet, _suffixed(f["name"], k))))
 
     return F.flatten(F.transform(non_blank(raw_lines(text)), of_line))
 
@@ -302,9 +314,8 @@ def _pool(family: str, name: Column, play: Column, numbers: Column, amount: Colu
 
 def inline_pool_groups(line: Column, name: Column) -> Column:
     """Pools written on one line as play, numbers, slash, amount."""
-    source = F.when(line.contains("/"), line).otherwise(F.lit(""))
     found = F.transform(
-        F.regexp_extract_all(source, F.lit(INLINE_POOL), F.lit(0)),
+        F.regexp_extract_all(line, F.lit(INLINE_POOL), F.lit(0)),
         lambda bet: F.struct(
             F.substring(bet, 1, 3).alias("play"),
             F.array_distinct(
@@ -322,10 +333,9 @@ def inline_pool_groups(line: Column, name: Column) -> Column:
 
 def zodiac_pool_groups(line: Column, name: Column) -> Column:
     """Four distinct zodiacs, every three of them a combination; an array of one group or none."""
-    source = F.when(line.contains("复四三"), line).otherwise(F.lit(""))
     parts = F.struct(
-        F.array_distinct(F.split(F.regexp_extract(source, ZODIAC_POOL, 1), "")).alias("zodiacs"),
-        cn_integer(F.regexp_extract(source, ZODIAC_POOL, 2)).alias("amount"),
+        F.array_distinct(F.split(F.regexp_extract(line, ZODIAC_POOL, 1), "")).alias("zodiacs"),
+        cn_integer(F.regexp_extract(line, ZODIAC_POOL, 2)).alias("amount"),
     )
     play = F.lit(dims.ZODIAC_POOL_PLAY)
     valid = F.filter(F.array(parts), lambda p: (F.size(p.zodiacs) == 4) & (p.amount > 0))
@@ -434,11 +444,15 @@ def pingma_groups(text: Column) -> Column:
 def fushi_groups(text: Column) -> Column:
     """Pool blocks first, then the one-line pools in line order."""
 
+    none = empty(GROUPS)
+
     def of_line(line: Column, index: Column) -> Column:
-        return let(
-            bettor_name(line, index),
-            lambda name: F.concat(zodiac_pool_groups(line, name), inline_pool_groups(line, name)),
+        has_zodiacs, has_pools = line.contains("复四三"), line.contains("/") & line.rlike("二中二|三中三")
+        named = lambda name: F.concat(
+            F.when(has_zodiacs, zodiac_pool_groups(line, name)).otherwise(none),
+            F.when(has_pools, inline_pool_groups(line, name)).otherwise(none),
         )
+        return F.when(has_zodiacs | has_pools, let(bettor_name(line, index), named)).otherwise(none)
 
     source = F.when(text.rlike("二中二|三中三|复四三"), text).otherwise(F.lit(""))
     by_line = F.flatten(F.transform(non_blank(raw_lines(source)), of_line))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slipspark.plans import lines, lines_sql
+from slipspark.plans import bets, bets_sql, feeds, feeds_sql, images, images_sql, lines, lines_sql
 
-QUERIES = {**lines.QUERIES}
-SQL = {**lines_sql.SQL}
+QUERIES = {**lines.QUERIES, **bets.QUERIES, **images.QUERIES, **feeds.QUERIES}
+SQL = {**lines_sql.SQL, **bets_sql.SQL, **images_sql.SQL, **feeds_sql.SQL}

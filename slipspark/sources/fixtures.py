@@ -218,21 +218,30 @@ def mixed_listed_text(t) -> str:
     return f"concat({lines}, {NL}, {_numbers(t, '9', LISTED_PICK, _quoted('.'), distinct)}, {play}, '出', {amount('9')})"
 
 
-def mixed_pool_text(t) -> str:
+def mixed_block_text(t) -> str:
     play = t.pick(BLOCK_PLAYS, "k % 4")
     first = _numbers(t, "0", "3", "'.'", distinct)
     rest = t.join(t.each("(2 + k % 3)", "j", nn(distinct("0", "(j + 3)"))), "'.'")
-    return f"concat('复试', {play}, '各', {amount('0')}, {NL}, {first}, {NL}, {rest}, {NL}, {zodiac_pool_text(t)})"
+    return f"concat('复试', {play}, '各', {amount('0')}, {NL}, {first}, {NL}, {rest})"
+
+
+def mixed_pool_text(t) -> str:
+    return f"concat({mixed_block_text(t)}, {NL}, {zodiac_pool_text(t)})"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Use all cores on an input of few splits, while its rows are still narrow; larger inputs stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def keyed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey AS k", "o_custkey AS c", "cast(o_orderdate AS date) AS draw_date"
-    )
+    orders = table(spark, sf_dir, "orders")
+    return spread(orders.selectExpr("o_orderkey AS k", "o_custkey AS c", "cast(o_orderdate AS date) AS draw_date"))
 
 
 def slips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,8 +412,10 @@ def chat_text() -> str:
 
 # Lines: one per line item; p and s are the part and supplier key, o the order key, q the quantity.
 def keyed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey AS o", "l_partkey AS p", "l_suppkey AS s", "l_linenumber AS ln", "cast(l_quantity AS int) AS q"
+    return spread(
+        table(spark, sf_dir, "lineitem").selectExpr(
+            "l_orderkey AS o", "l_partkey AS p", "l_suppkey AS s", "l_linenumber AS ln", "cast(l_quantity AS int) AS q"
+        )
     )
 
 
