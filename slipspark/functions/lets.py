@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import lru_cache, wraps
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,17 @@ def empty(ddl: str) -> Column:
     return F.array().cast(ddl)
 
 
+def exploded(rows: DataFrame, keys: tuple[str, ...], items: str, item: str, position: str | None = None) -> DataFrame:
+    """One row per array member, with its position if named.
+
+    An inner explode of a column lets the optimizer add a filter on the array's size and push it, with the whole
+    expression behind the column, down to the scan, where everything is computed a second time. The outer form does not.
+    """
+    if position is None:
+        return rows.select(*keys, F.explode_outer(items).alias(item)).filter(F.col(item).isNotNull())
+    return rows.select(*keys, F.posexplode_outer(items).alias(position, item)).filter(F.col(position).isNotNull())
+
+
 def built_once(builder: Callable[..., Column]) -> Callable[..., Column]:
     """Reuse a large expression over named columns.
 

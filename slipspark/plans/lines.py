@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slipspark.functions import tokens
 from slipspark.functions.combos import combination_count
+from slipspark.functions.lets import exploded
 from slipspark.functions.text import non_blank, raw_lines
 from slipspark.sources import fixtures as fx
 from slipspark.sources.slips import to_long
@@ -65,7 +66,7 @@ def slip_source(spark: SparkSession, sf: str) -> DataFrame:
 def slip_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Raw index, index among non-blank lines, and how many lines and characters stand there."""
     lines = fx.slips(spark, sf).select(raw_lines(F.col("pingma")).alias("lines"))
-    rows = lines.select("lines", F.posexplode("lines").alias("raw_idx", "line")).filter("line <> ''")
+    rows = exploded(lines, ("lines",), "lines", "line", "raw_idx").filter("line <> ''")
     before = F.slice("lines", F.lit(1), F.col("raw_idx"))
     return (
         rows.withColumn("nb_idx", F.size(non_blank(before)))
