@@ -31,19 +31,17 @@ _GW = "|".join(dims.PER_GROUP_WORDS)
 _Z = f"[{dims.ZODIAC_ORDER}]"
 _WS = f"[{JS_WS}]*"
 
-# Fixed patterns of the bet language.
-SLASH_BET = rf"([^/\r\n]+?)/{_WS}(\d+)"
+# Fixed patterns of the bet language. A bet's text can only begin where the last match ended or after a separator: a
+# later start in the same stretch could not match where the first one failed. Saying so keeps long texts linear.
+SLASH_BET = rf"(?:\G|(?<=[/\r\n]))([^/\r\n]+?)/{_WS}(\d+)"
 # Every amount word ends in one of these characters, each of which is an amount word itself, and no word holds a digit:
-# so the last character before the amount decides, and words left of it may count as text. Stepping over other
-# characters possessively keeps the scan from backing up.
+# so the last character before the amount decides, and words left of it may count as text.
 _AW_END = "[各下押买]"
-CHINESE_BET = (
-    rf"([^，,。；;\r\n](?:[^，,。；;\r\n各下押买]|{_AW_END}(?!{_WS}\d))*+){_AW_END}{_WS}(\d+(?:\.\d+)?)"
-)
+CHINESE_BET = rf"(?:\G|(?<=[，,。；;\r\n]))([^，,。；;\r\n]+?){_AW_END}{_WS}(\d+(?:\.\d+)?)"
 ZODIAC_BET = rf"(?:^|[，,。；;{JS_WS}])({_Z}){_WS}(?:{_AW})?{_WS}(\d+(?:\.\d+)?){_WS}元?"
 INLINE_POOL = rf"(?:二中[二三]|三中三){_WS}[^/，,。；;\r\n]+?/{_WS}\d+(?:\.\d+)?"
 ZODIAC_POOL = rf"^({_Z}{{4}}){_WS}复四三{_WS}(?:{_GW})?{_WS}(\d+(?:\.\d+)?|[{dims.CN_DIGITS}两十]+){_WS}元?\z"
-YUAN_AMOUNT = rf"([\s\S]*?)(\d+)({_WS}元)"
+YUAN_AMOUNT = rf"\G([\s\S]*?)(?<!\d)(\d+)({_WS}元)"
 
 GROUPS = (
     "array<struct<family:string,kind:string,user_name:string,play:string,label:string,numbers:array<int>,"

@@ -22,9 +22,12 @@ BARE_AMOUNT = rf"^{_D}{{1,4}}元?\z"
 WAITS_AMOUNT = rf"(?:各下|各押|各买|下|押|买)\P{{Nd}}*\z"
 TWO_DIGITS = rf"^{_D}{{1,2}}\z"
 CUT_AMOUNT = rf"/{_D}{{1,2}}\z"
-# At least two digits, each with at most one separator before it: the same texts as two or more chunks of one or two
-# digits, without the ambiguous split that makes a long digit run explode.
-CHUNKS = rf"^(?:[./]?{_D}){{2,}}\z"
+# Two or more chunks of one or two digits, each with at most one separator before it. As one pattern this splits a digit
+# run in countless ways; as three plain tests it is linear: only digits and separators, no separator doubled or last,
+# and two digits or more.
+CHUNK_CHARS = rf"^[./{_D}]+\z"
+CHUNK_FAULT = r"[./][./]|[./]\z"
+CHUNK_PAIR = rf"{_D}[./]?{_D}"
 CUT_NUMBER = rf"(?:\.{_D}|/{_D}*)\z"
 
 
@@ -81,7 +84,7 @@ def kept_lines(text: Column) -> Column:
             line.rlike(CONTENT).alias("content"),
             line.rlike(BARE_AMOUNT).alias("bare_amount"),
             line.rlike(TWO_DIGITS).alias("two_digits"),
-            line.rlike(CHUNKS).alias("chunks"),
+            (line.rlike(CHUNK_CHARS) & ~line.rlike(CHUNK_FAULT) & line.rlike(CHUNK_PAIR)).alias("chunks"),
         ),
     )
 

@@ -49,9 +49,8 @@ def newest(spark: SparkSession, out: str) -> DataFrame:
     return last.select("lottery_type", "d.*")
 
 
-def sync_status(query: StreamingQuery, out: str) -> DataFrame:
+def sync_status(spark: SparkSession, out: str) -> DataFrame:
     """Attempts, successes and the last error, from the polls written so far."""
-    spark = query.sparkSession
     return polls(spark, out).agg(
         F.max("synced_at").alias("last_attempt_at"),
         F.max(F.when(F.col("error").isNull(), F.col("synced_at"))).alias("last_success_at"),
