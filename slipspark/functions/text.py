@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +29,9 @@ def _class_body(points: list[int]) -> str:
 
 
 JS_SPACE_CHARS = "".join(map(chr, _JS_SPACE))
-JS_WS = _class_body(_JS_SPACE)
+# Java's own classes for horizontal and vertical space cover the browser's but for three members; they match faster than
+# a list, and stand last in a class because of the intersection.
+JS_WS = r"\h\v\x{FEFF}&&[^\x85\x{180E}]"
 PY_WS = _class_body(_PY_SPACE)
 PY_LINE_BREAK = f"[{_class_body(_PY_BREAK)}]"
 
@@ -52,6 +57,11 @@ def amount_of(digits: Column) -> Column:
     return digits.try_cast(AMOUNT)
 
 
+def contains_any(text: Column, words: Iterable[str]) -> Column:
+    """Byte search for any of the words; cheaper than a pattern where only presence matters."""
+    return reduce(lambda a, b: a | b, [text.contains(word) for word in words])
+
+
 def plain_number(value: Column) -> Column:
     """Decimal as 940 or 2.5: no trailing zeros, no exponent."""
     return F.regexp_replace(value.cast(MONEY).cast("string"), r"\.?0+\z", "")

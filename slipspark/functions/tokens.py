@@ -12,7 +12,7 @@ from slipspark.functions.text import AMOUNT, JS_WS, amount_of, js_trim
 # A whole digit run whose value is 1..49, leading zeros allowed.
 _NUMBER_RUN = r"(?<!\d)0*([1-9]|[1-4]\d)(?!\d)"
 _TRAILING_AMOUNT = rf"(?<!\d)(\d++(?:\.\d++)?)[{JS_WS}]*+元?[{JS_WS}]*+\z"
-_NAME = rf"^[{JS_WS}]*([^0-9/：:，,{JS_WS}.]{{1,16}})[{JS_WS}]*[：:，,{JS_WS}]"
+_NAME = rf"^[{JS_WS}]*([^0-9/：:，,.{JS_WS}]{{1,16}})[{JS_WS}]*[：:，,{JS_WS}]"
 
 
 def normalize_number(text: Column) -> Column:

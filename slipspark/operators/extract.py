@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from slipspark import dims
 from slipspark.functions.combos import combination_count, k_subsets
 from slipspark.functions.lets import built_once, empty, let
-from slipspark.functions.text import AMOUNT, JS_WS, MONEY, amount_of, non_blank, raw_lines
+from slipspark.functions.text import AMOUNT, JS_WS, MONEY, amount_of, contains_any, non_blank, raw_lines
 from slipspark.functions.tokens import (
     bettor_name,
     cn_integer,
@@ -27,6 +27,7 @@ from slipspark.functions.tokens import (
 )
 
 _AW = "|".join(dims.AMOUNT_WORDS)
+PLAY_WORDS = (*dims.PLAYS, dims.UNPRICED_PLAY)
 _GW = "|".join(dims.PER_GROUP_WORDS)
 _Z = f"[{dims.ZODIAC_ORDER}]"
 _WS = f"[{JS_WS}]*"
@@ -49,6 +50,7 @@ GROUPS = (
     "combo_count:bigint,bet_amount:decimal(38,4),pick:int,odds:int>>"
 )
 BETS = "array<struct<family:string,label:string,numbers:array<int>,amount:decimal(28,4)>>"
+NAMED_BETS = "array<struct<family:string,label:string,numbers:array<int>,amount:decimal(28,4),user_name:string>>"
 
 
 def _bets(family: str, heads: Column, amounts: Column, numbers_of=numbers_in, label_of=None) -> Column:
@@ -78,12 +80,12 @@ def slash_bets(line: Column, family: str = "slash") -> Column:
 
 
 def chinese_bets(line: Column) -> Column:
-    return _matched(line, line.rlike(rf"{_AW_END}{_WS}\d"), CHINESE_BET, "cn")
+    return _matched(line, contains_any(line, "各下押买"), CHINESE_BET, "cn")
 
 
 def zodiac_bets(line: Column) -> Column:
     return _matched(
-        line, line.rlike(_Z), ZODIAC_BET, "zodiac", numbers_of=zodiac_numbers, label_of=lambda zodiac: zodiac
+        line, contains_any(line, dims.ZODIAC_ORDER), ZODIAC_BET, "zodiac", numbers_of=zodiac_numbers, label_of=lambda zodiac: zodiac
     )
 
 
@@ -99,9 +101,25 @@ def _nth(position: Column) -> Column:
     return F.concat(F.lit("第"), (position + 1).cast("string"), F.lit("组"))
 
 
-def _straight(bet: Column, name: Column) -> Column:
+def _straight(bet: Column) -> Column:
     return _group(
-        bet.family, "straight", name, numbers=bet.numbers, amount=bet.amount, label=bet.label, units=F.size(bet.numbers)
+        bet.family,
+        "straight",
+        bet.user_name,
+        numbers=bet.numbers,
+        amount=bet.amount,
+        label=bet.label,
+        units=F.size(bet.numbers),
+    )
+
+
+def _named(bet: Column, name: Column) -> Column:
+    return F.struct(
+        bet.family.alias("family"),
+        bet.label.alias("label"),
+        bet.numbers.alias("numbers"),
+        bet.amount.alias("amount"),
+        name.alias("user_name"),
     )
 
 
@@ -140,64 +158,56 @@ def _group(
     )
 
 
-def line_groups(text: Column, families: tuple[str, ...] = ("slash", "cn", "zodiac")) -> Column:
-    """Straight bets read line by line; groups of one line are numbered across the families."""
+def line_bets(text: Column, families: tuple[str, ...] = ("slash", "cn", "zodiac")) -> Column:
+    """Straight bets read line by line; bets of one line are numbered across the families."""
 
     def of_line(line: Column, index: Column) -> Column:
-        found = F.struct(
-            F.concat(*[_LINE_FAMILIES[family](line) for family in families]).alias("bets"),
-            bettor_name(line, index).alias("name"),
+        named = lambda bets: let(
+            bettor_name(line, index),
+            lambda name: F.transform(bets, lambda bet, k: _named(bet, _suffixed(name, k))),
         )
-        return let(found, lambda f: F.transform(f.bets, lambda bet, k: _straight(bet, _suffixed(f["name"], k))))
+        found = F.concat(*[_LINE_FAMILIES[family](line) for family in families])
+        return let(found, lambda bets: F.when(F.size(bets) > 0, named(bets)).otherwise(empty(NAMED_BETS)))
 
     return F.flatten(F.transform(non_blank(raw_lines(text)), of_line))
 
 
-def wrapped_slash_groups(text: Column) -> Column:
+def line_groups(text: Column, families: tuple[str, ...] = ("slash", "cn", "zodiac")) -> Column:
+    return F.transform(line_bets(text, families), _straight)
+
+
+def wrapped_slash_bets(text: Column) -> Column:
     """Slash bets whose text was broken over lines; rebuilt by a fold, because what continues depends on what was kept."""
     source = F.when(text.contains("/"), text).otherwise(F.lit(""))
-    usable = F.filter(raw_lines(source), lambda line: (line != "") & ~line.rlike("[号各下押买元特码]"))
-    facts = F.transform(
-        usable,
-        lambda line: F.struct(
-            line.alias("line"),
-            line.contains("/").alias("slash"),
-            (F.size(numbers_in(line)) >= 2).alias("many"),
-            line.rlike(r"^\d{1,2}\z").alias("short"),
-            line.rlike(r"\.\d\z").alias("cut_number"),
-            line.rlike(r"/\d{1,2}\z").alias("cut_amount"),
-        ),
-    )
+    usable = F.filter(raw_lines(source), lambda line: (line != "") & ~contains_any(line, "号各下押买元特码"))
 
-    def step(acc: Column, x: Column) -> Column:
-        resumes = acc.cut_number & x.many
-        keep = x.slash | resumes | (acc.cut_amount & x.short)
-        glue = F.when(x.slash & acc.any & ~resumes, F.lit(".")).otherwise(F.lit(""))
+    # Conditions are ordered so that a line is only looked into when the lines before it leave something open.
+    def step(acc: Column, line: Column) -> Column:
+        resumes = acc.cut_number & (F.size(numbers_in(line)) >= 2)
+        keep = line.contains("/") | resumes | (acc.cut_amount & line.rlike(r"^\d{1,2}\z"))
+        glued = line.contains("/") & (acc.text != "") & ~resumes
         return F.when(
             keep,
             F.struct(
-                F.concat(acc.text, glue, x.line).alias("text"),
-                F.lit(True).alias("any"),
-                x.cut_number.alias("cut_number"),
-                x.cut_amount.alias("cut_amount"),
+                F.concat(acc.text, F.when(glued, F.lit(".")).otherwise(F.lit("")), line).alias("text"),
+                line.rlike(r"\.\d\z").alias("cut_number"),
+                line.rlike(r"/\d{1,2}\z").alias("cut_amount"),
             ),
         ).otherwise(acc)
 
-    start = F.struct(
-        F.lit("").alias("text"),
-        F.lit(False).alias("any"),
-        F.lit(False).alias("cut_number"),
-        F.lit(False).alias("cut_amount"),
-    )
-    rebuilt = F.aggregate(facts, start, step, lambda acc: acc.text)
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("cut_number"), F.lit(False).alias("cut_amount"))
+    rebuilt = F.aggregate(usable, start, step, lambda acc: acc.text)
     bets = let(rebuilt, lambda joined: slash_bets(joined, "slash_wrapped"))
-    return F.transform(bets, lambda bet, k: _straight(bet, _nth(k)))
+    return F.transform(bets, lambda bet, k: _named(bet, _nth(k)))
 
 
-def wrapped_chinese_groups(text: Column) -> Column:
+def wrapped_chinese_bets(text: Column) -> Column:
     """Chinese-amount bets over lines, cut at each amount in 元; a cut that yields no bet stays in the next source."""
     source = F.when(text.contains("元"), text).otherwise(F.lit(""))
-    kept = F.filter(raw_lines(source), lambda line: line.rlike(r"号|各[下押买]|[下押买]\d|元|特码"))
+    kept = F.filter(
+        raw_lines(source),
+        lambda line: contains_any(line, ("号", "元", "特码", "各下", "各押", "各买")) | line.rlike(r"[下押买]\d"),
+    )
     joined = F.regexp_replace(F.array_join(kept, "."), r"([各下押买])\.(?=\d)", "$1")
 
     def pieces(whole: Column) -> Column:
@@ -226,7 +236,15 @@ def wrapped_chinese_groups(text: Column) -> Column:
 
     start = F.struct(F.lit("").alias("carry"), empty(BETS).alias("out"))
     bets = F.aggregate(let(joined, pieces), start, step, lambda acc: acc.out)
-    return F.transform(bets, lambda bet, k: _straight(bet, _nth(k)))
+    return F.transform(bets, lambda bet, k: _named(bet, _nth(k)))
+
+
+def wrapped_slash_groups(text: Column) -> Column:
+    return F.transform(wrapped_slash_bets(text), _straight)
+
+
+def wrapped_chinese_groups(text: Column) -> Column:
+    return F.transform(wrapped_chinese_bets(text), _straight)
 
 
 def _combo_line(line: Column, index: Column) -> Column:
@@ -246,7 +264,7 @@ def _combo_line(line: Column, index: Column) -> Column:
 
 
 def _play_lines(text: Column) -> Column:
-    source = F.when(text.rlike("二中[二三]|三中三|复四三"), text).otherwise(F.lit(""))
+    source = F.when(contains_any(text, PLAY_WORDS), text).otherwise(F.lit(""))
     return F.transform(raw_lines(source), _combo_line)
 
 
@@ -415,28 +433,33 @@ def total_stake(groups: Column) -> Column:
     return F.aggregate(groups, F.lit(0).cast(MONEY), lambda acc, g: (acc + g.bet_amount).cast(MONEY))
 
 
+def _bet_stake(bets: Column) -> Column:
+    stake = lambda bet: F.size(bet.numbers).cast("bigint") * bet.amount
+    return F.aggregate(bets, F.lit(0).cast(MONEY), lambda acc, bet: (acc + stake(bet)).cast(MONEY))
+
+
 def pingma_groups(text: Column) -> Column:
     """Straight bets; a wrapped reading replaces its line-by-line twin when it finds a strictly higher stake."""
     readings = F.struct(
-        line_groups(text).alias("lines"),
-        wrapped_slash_groups(text).alias("slash_wrapped"),
-        wrapped_chinese_groups(text).alias("cn_wrapped"),
+        line_bets(text).alias("lines"),
+        wrapped_slash_bets(text).alias("slash_wrapped"),
+        wrapped_chinese_bets(text).alias("cn_wrapped"),
     )
 
-    def better(by_line: Column, wrapped: Column) -> Column:
-        return F.when(total_stake(wrapped) > total_stake(by_line), wrapped).otherwise(by_line)
-
     def family(r: Column, name: str) -> Column:
-        return F.filter(r.lines, lambda g: g.family == name)
+        return F.filter(r.lines, lambda bet: bet.family == name)
 
-    return let(
+    def better(by_line: Column, wrapped: Column) -> Column:
+        higher = (F.size(wrapped) > 0) & (_bet_stake(wrapped) > _bet_stake(by_line))
+        return F.when(higher, wrapped).otherwise(by_line)
+
+    chosen = let(
         readings,
         lambda r: F.concat(
-            let(family(r, "slash"), lambda by_line: better(by_line, r.slash_wrapped)),
-            let(family(r, "cn"), lambda by_line: better(by_line, r.cn_wrapped)),
-            family(r, "zodiac"),
+            better(family(r, "slash"), r.slash_wrapped), better(family(r, "cn"), r.cn_wrapped), family(r, "zodiac")
         ),
     )
+    return F.transform(chosen, _straight)
 
 
 def fushi_groups(text: Column) -> Column:
@@ -445,14 +468,14 @@ def fushi_groups(text: Column) -> Column:
     none = empty(GROUPS)
 
     def of_line(line: Column, index: Column) -> Column:
-        has_zodiacs, has_pools = line.contains("复四三"), line.contains("/") & line.rlike("二中二|三中三")
+        has_zodiacs, has_pools = line.contains("复四三"), line.contains("/") & contains_any(line, ("二中二", "三中三"))
         named = lambda name: F.concat(
             F.when(has_zodiacs, zodiac_pool_groups(line, name)).otherwise(none),
             F.when(has_pools, inline_pool_groups(line, name)).otherwise(none),
         )
         return F.when(has_zodiacs | has_pools, let(bettor_name(line, index), named)).otherwise(none)
 
-    source = F.when(text.rlike("二中二|三中三|复四三"), text).otherwise(F.lit(""))
+    source = F.when(contains_any(text, PLAY_WORDS), text).otherwise(F.lit(""))
     by_line = F.flatten(F.transform(non_blank(raw_lines(source)), of_line))
     return F.concat(pool_block_groups(text), by_line)
 

@@ -322,7 +322,7 @@ def feed_from(events: DataFrame) -> DataFrame:
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed_from(table(spark, sf_dir, "events"))
+    return feed_from(spread(table(spark, sf_dir, "events")))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,10 +394,10 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw chat texts: every conversation turn and every document, whole, with bet lines after it."""
-    turns = table(spark, sf_dir, "conversations").selectExpr(
+    turns = spread(table(spark, sf_dir, "conversations")).selectExpr(
         "'turn' AS source", "conv_id * 1000 + turn AS chat_id", "text", "turn + conv_id AS n"
     )
-    docs = table(spark, sf_dir, "documents").selectExpr("'document' AS source", "doc_id AS chat_id", "text", "doc_id AS n")
+    docs = spread(table(spark, sf_dir, "documents")).selectExpr("'document' AS source", "doc_id AS chat_id", "text", "doc_id AS n")
     return turns.unionByName(docs).selectExpr("source", "chat_id", f"{chat_text()} AS text")
 
 
