@@ -3,8 +3,12 @@
 A refused request does not count, so admission depends on earlier decisions and needs a pass in time order. What it
 does not need is a client's whole history. Cut time into buckets of one window length. Where two neighbouring buckets
 together hold no more than ``max_requests``, everything in the later one is admitted; such a bucket also tells the next
-one exactly what is still in its window. Only runs of fuller buckets, the busy runs, are walked in order, each as its
-own group, so that clients spread over many tasks and quiet traffic is never walked at all.
+one exactly what is still in its window. Only runs of fuller buckets, the busy runs, are walked in order.
+
+A client that is busy all the time is one long run, so runs are cut into chunks of bounded size that are walked in
+parallel. A chunk starts from what the chunk before admitted in its last bucket. The first round guesses that nothing
+was; each further round walks again only the chunks whose start turned out different, until none does. That is exact,
+since the first chunk of a run is right at once and every round settles at least one more.
 """
 
 from __future__ import annotations
@@ -13,11 +17,14 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipspark import dims
+from slipspark.session import shared_dir
 
+# Requests of a busy run walked by one task.
+CHUNK_ROWS = 1_000_000
 _TIME = "_t"
 
 
@@ -38,8 +45,8 @@ def trailing_counts(requests: DataFrame, window_us: int, name: str = "trailing")
     return counted.select(*requests.columns, name)
 
 
-def busy_runs(requests: DataFrame, max_requests: int, window_us: int) -> DataFrame:
-    """(client, _b, heavy, run, feeds): whether a bucket must be walked, in which run, and which run it leads into."""
+def busy_runs(requests: DataFrame, max_requests: int, window_us: int, chunk_rows: int) -> DataFrame:
+    """One row per client and bucket: whether it is heavy, its run and chunk, and the run it leads into if it is not."""
     counts = _timed(requests, window_us).groupBy("client", "_b").agg(F.count("*").alias("_n"))
     by_time = Window.partitionBy("client").orderBy("_b")
     adjacent = lambda offset: F.lag("_b", offset).over(by_time) == F.col("_b") - offset
@@ -51,44 +58,95 @@ def busy_runs(requests: DataFrame, max_requests: int, window_us: int) -> DataFra
     with_run = marked.withColumn("run", F.when(F.col("heavy"), F.max("_start").over(running)))
     leads = F.coalesce(F.lead("_b").over(by_time) == F.col("_b") + 1, F.lit(False))
     feeds = F.when(~F.col("heavy") & leads & F.lead("heavy").over(by_time), F.lead("run").over(by_time))
-    return with_run.withColumn("feeds", feeds).select("client", "_b", "heavy", "run", "feeds")
+    filled = F.sum("_n").over(Window.partitionBy("client", "run").orderBy("_b")) - F.col("_n")
+    chunk = F.when(F.col("heavy"), F.floor(filled / F.lit(chunk_rows)))
+    cut = with_run.withColumn("feeds", feeds).withColumn("chunk", chunk)
+    next_chunk = F.lead("chunk").over(Window.partitionBy("client", "run").orderBy("_b"))
+    # Set on the last bucket of a chunk: the chunk that starts right after it.
+    opens = F.when(F.col("heavy") & (next_chunk != F.col("chunk")), next_chunk)
+    return cut.withColumn("opens", opens).select("client", "_b", "heavy", "run", "chunk", "feeds", "opens")
 
 
 def walk(batches: Iterator[pd.DataFrame], max_requests: int, window_us: int) -> Iterator[pd.DataFrame]:
-    """Decide requests sorted by (client, run, time); holds at most ``max_requests`` times of one run."""
+    """Decide requests sorted by chunk and time; holds at most ``max_requests`` times of one chunk.
+
+    Seed rows are requests admitted before the chunk; they take their place in the window.
+    """
     key, recent = None, deque()
     for batch in batches:
         decisions = []
-        for client, run, t in zip(batch["client"], batch["run"], batch[_TIME]):
-            if (client, run) != key:
-                key, recent = (client, run), deque()
+        for *chunk, t, seed in zip(batch["client"], batch["run"], batch["chunk"], batch[_TIME], batch["seed"]):
+            if chunk != key:
+                key, recent = chunk, deque()
             while recent and t - recent[0] >= window_us:
                 recent.popleft()
-            admit = len(recent) < max_requests
+            admit = seed or len(recent) < max_requests
             if admit:
                 recent.append(t)
-            decisions.append(admit)
+            decisions.append(bool(admit))
         yield batch.assign(admitted=decisions)
 
 
+_CHUNK = ["client", "run", "chunk"]
+_SEED = [*_CHUNK, _TIME, "request_id"]
+_ROW = [*_SEED, "ts", "opens", "seed"]
+
+
+def _walked(rows: DataFrame, seeds: DataFrame, max_requests: int, window_us: int) -> DataFrame:
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{name} {types[name]}" for name in _ROW) + ", admitted boolean"
+    started = seeds.select(*_SEED).withColumns(
+        {"ts": F.lit(None).cast(types["ts"]), "opens": F.lit(None).cast(types["opens"]), "seed": F.lit(True)}
+    )
+    ordered = (
+        rows.select(*_ROW)
+        .unionByName(started.select(*_ROW))
+        .repartition(*_CHUNK)
+        .sortWithinPartitions(*_CHUNK, _TIME, "request_id")
+    )
+    decided = ordered.mapInPandas(lambda batches: walk(batches, max_requests, window_us), schema)
+    return decided.filter("NOT seed")
+
+
 def admit(
-    requests: DataFrame, max_requests: int = dims.ADMIT_MAX, window_us: int = dims.ADMIT_WINDOW_MS * 1000
+    requests: DataFrame,
+    max_requests: int = dims.ADMIT_MAX,
+    window_us: int = dims.ADMIT_WINDOW_MS * 1000,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Requests (client, ts, request_id) plus ``admitted``; ties in time go by request_id."""
-    runs = busy_runs(requests, max_requests, window_us)
+    spark = requests.sparkSession
+    out = shared_dir(spark, "admission")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        return spark.read.parquet(f"{out}/{name}")
+
+    runs = stored(busy_runs(requests, max_requests, window_us, chunk_rows), "runs")
     placed = _timed(requests, window_us).join(runs, ["client", "_b"])
-    quiet = placed.filter("NOT heavy").withColumn("admitted", F.lit(True))
-    # A quiet bucket that leads into a run goes along as context: its requests are admitted and occupy the window.
-    context = placed.filter("feeds IS NOT NULL").withColumn("run", F.col("feeds")).withColumn("_context", F.lit(True))
-    walked = placed.filter("heavy").withColumn("_context", F.lit(False)).unionByName(context)
-    columns = ["client", "run", _TIME, "request_id", "ts", "_context"]
-    ordered = (
-        walked.select(*columns)
-        .repartition("client", "run")
-        .sortWithinPartitions("client", "run", _TIME, "request_id")
-    )
-    types = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
-    schema = ", ".join(f"{name} {types[name]}" for name in columns) + ", admitted boolean"
-    decided = ordered.mapInPandas(lambda batches: walk(batches, max_requests, window_us), schema)
     shown = ["client", "ts", "request_id", "admitted"]
-    return decided.filter("NOT _context").select(*shown).unionByName(quiet.select(*shown))
+    quiet = placed.filter("NOT heavy").withColumn("admitted", F.lit(True)).select(*shown)
+    # A quiet bucket that leads into a run seeds its first chunk: its requests are admitted and occupy the window.
+    context = placed.filter("feeds IS NOT NULL").withColumn("run", F.col("feeds")).withColumn("chunk", F.lit(0).cast("bigint"))
+    heavy = placed.filter("heavy").withColumn("seed", F.lit(False))
+    if runs.filter("opens IS NOT NULL").isEmpty():
+        return _walked(heavy, context, max_requests, window_us).select(*shown).unionByName(quiet)
+
+    def seeds_of(decided: DataFrame) -> DataFrame:
+        """What a chunk hands to the next: its admitted requests of the last bucket, at most ``max_requests``."""
+        return decided.filter("admitted AND opens IS NOT NULL").withColumn("chunk", F.col("opens")).select(*_SEED)
+
+    decided = stored(_walked(heavy, context, max_requests, window_us), "round-0")
+    used, turn = decided.limit(0).select(*_SEED), 0
+    while True:
+        handed = seeds_of(decided)
+        changed = handed.exceptAll(used).unionByName(used.exceptAll(handed)).select(*_CHUNK).distinct()
+        turn += 1
+        dirty = stored(changed, f"dirty-{turn}")
+        if dirty.isEmpty():
+            return decided.select(*shown).unionByName(quiet)
+        seeds = stored(handed, f"seeds-{turn}")
+        # Only a later chunk can be handed something new, so context, which seeds first chunks, is not needed again.
+        again = _walked(heavy.join(dirty, _CHUNK, "left_semi"), seeds.join(dirty, _CHUNK, "left_semi"), max_requests, window_us)
+        decided = stored(decided.join(dirty, _CHUNK, "left_anti").unionByName(again), f"round-{turn}")
+        used = seeds
