@@ -27,7 +27,6 @@ EMPTY_STATUS = {
 }
 EMPTY_STATUS_ALL = "未解析到有效投注"
 NO_WINNERS = "暂无中奖用户"
-MODE_LABELS = {"pingma": "平码", "lianma": "连码", "fushi": "复式"}
 
 # Chinese digits by value; 两 also means 2.
 CN_DIGITS = "零一二三四五六七八九"

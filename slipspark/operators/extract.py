@@ -468,12 +468,13 @@ def fushi_groups(text: Column) -> Column:
     none = empty(GROUPS)
 
     def of_line(line: Column, index: Column) -> Column:
-        has_zodiacs, has_pools = line.contains("复四三"), line.contains("/") & contains_any(line, ("二中二", "三中三"))
-        named = lambda name: F.concat(
-            F.when(has_zodiacs, zodiac_pool_groups(line, name)).otherwise(none),
-            F.when(has_pools, inline_pool_groups(line, name)).otherwise(none),
+        # A line full of four zodiacs and 复四三 leaves no room for a slash, so it holds one kind or the other.
+        name = bettor_name(line, index)
+        return (
+            F.when(line.contains("/"), inline_pool_groups(line, name))
+            .when(line.contains("复四三"), zodiac_pool_groups(line, name))
+            .otherwise(none)
         )
-        return F.when(has_zodiacs | has_pools, let(bettor_name(line, index), named)).otherwise(none)
 
     source = F.when(contains_any(text, PLAY_WORDS), text).otherwise(F.lit(""))
     by_line = F.flatten(F.transform(non_blank(raw_lines(source)), of_line))

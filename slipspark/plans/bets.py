@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipspark import dims
-from slipspark.functions.combos import k_subsets
+from slipspark.functions.combos import k_subsets, number_mask
 from slipspark.functions.lets import built_once
 from slipspark.functions.text import non_blank, raw_lines
 from slipspark.functions.tokens import bettor_name
@@ -117,13 +117,10 @@ def hit_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def drawn_set(spark: SparkSession, sf: str) -> DataFrame:
     inputs = st.draw_inputs(fx.draws(spark, sf))
-    mask = F.aggregate(
-        "drawn", F.lit(0).cast("bigint"), lambda acc, n: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), n))
-    )
     return inputs.select(
         F.col("draw_date").cast("string").alias("draw_date"),
         F.array_join("drawn", ".").alias("drawn"),
-        mask.alias("drawn_mask"),
+        number_mask(F.col("drawn")).alias("drawn_mask"),
     )
 
 

@@ -18,10 +18,6 @@ def _per(count: str, name: str = "g", source: str = "base") -> str:
     return f"(SELECT *, unnest(range(0, {_int(count)})) AS {name} FROM {source} WHERE {count} > 0)"
 
 
-def _list(size: str, body: str) -> str:
-    return f"[x for x in {T.each(size, 'j', f'CAST({body} AS INTEGER)')}]"
-
-
 def suffix(position: str) -> str:
     return f"CASE WHEN {position} > 0 THEN concat(' 第', {position} + 1, '组') ELSE '' END"
 

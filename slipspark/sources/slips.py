@@ -16,7 +16,10 @@ def read_wide(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str, mode: str) -> DataFrame:
-    """A folder of text files, one slip each, all of one mode; the file path names the slip."""
+    """A folder of text files, one slip each, all of one mode; the file path names the slip.
+
+    File sources leave out files of zero bytes, so a slip without any text must come as a table row.
+    """
     files = spark.read.text(path, wholetext=True)
     return files.select(
         F.xxhash64(F.input_file_name()).alias("slip_id"),
