@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from slipspark.plans import registry
 from tools.check import TABLES, _rows
 
 SF = "/root/testdata/sf0.001"
@@ -21,10 +22,10 @@ def checker():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.SQL)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", registry.QUERIES)
 def test_query(spark, checker, name):
     df = entry.queries()[name](spark, SF)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
