@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipspark.llm import decontaminate, language_id, line_dedup, quality, token_counts, tokens_out
+from slipspark.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality, token_counts, tokens_out, tool_calls
 from slipspark.llm.common import table
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.from_conversations(table(spark, sf_dir, "conversations"))
+    return tool_calls.digest(tool_calls.link(calls, results, tool_calls.SCHEMAS))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.scan(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_out.encoded(table(spark, sf_dir, "documents"))
 
@@ -23,6 +32,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), F.length("prefix_deltas").cast("long").alias("stored_bytes"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return joined.select("doc_id", "n_shingles", "component_id", "class_size")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score")
@@ -32,6 +46,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.schedule(table(spark, sf_dir, "documents")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = language_id.fit(docs.where(~language_id.held_out()))
@@ -40,11 +58,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_decontamination": op2_decontamination,
+    "op3_pii": op3_pii,
     "op4_token_output": op4_token_output,
     "op5_token_counts": op5_token_counts,
+    "op6_ngram_join": op6_ngram_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
+    "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
 
