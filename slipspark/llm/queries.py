@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slipspark.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality, token_counts, tokens_out, tool_calls
 from slipspark.llm.common import table
+from slipspark.llm.queries_sql import SQL as SQL
 
 
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return joined.select("doc_id", "n_shingles", "component_id", "class_size")
+    return joined.select("doc_id", "n_shingles", "component_id")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +70,3 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
-
-SQL: dict[str, str] = {}
