@@ -35,7 +35,7 @@ PATTERNS = {
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _IP_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2}|)(?:\.|$)){4}$"
 #: A token that looks like an identifier: five characters or more, a digit or an at sign among them.
-IDENTIFIER = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z._+-]*+[0-9@])[A-Za-z0-9@._+-]{4,63}+[A-Za-z0-9](?![A-Za-z0-9@._+-])"
+IDENTIFIER = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z._+-]*+[0-9@])[A-Za-z0-9@._+-]{4,63}[A-Za-z0-9](?![A-Za-z0-9@_+-])"
 _TWO_WORDS = r"(\S+\s+\S+)\s*$"
 
 SPAN = "array<struct<start:long,end:long,value:string,context:string>>"
