@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slipspark.functions.lets import let
+
 # Code points of whitespace as browsers define it, as Unicode str regexes define it, and of line breaks
 # as Python's splitlines knows them. (Plain \s in Java is ASCII only.)
 _JS_SPACE = [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
@@ -69,3 +71,22 @@ def plain_number(value: Column) -> Column:
 
 def nullif_blank(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
+
+
+def round_binary(value: Column, places: int) -> Column:
+    """A double from 0 on, rounded half to even by its exact binary value, as Python's ``round`` does.
+
+    ``bround`` looks at the shortest decimal print. That differs only where the print ends in a 5 just behind the last
+    place; there the sign of the double's distance to that decimal decides, which a product in two exact halves gives.
+    """
+    scale = float(10 ** (places + 1))
+
+    def decided(x: Column) -> Column:
+        n = F.round(x * scale)
+        high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of the bits
+        off = (high * scale - n) + (x - high) * scale
+        up = F.when(off == 0, (n - 5) / 10 % 2 != 0).otherwise(off > 0)
+        tie = (n % 10 == 5) & (F.abs(x * scale - n) < 1e-3)
+        return F.when(tie, ((n - 5) / 10 + up.cast("int")) / (scale / 10)).otherwise(F.bround(x, places))
+
+    return let(value, decided)

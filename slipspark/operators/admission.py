@@ -26,6 +26,8 @@ from slipspark.session import shared_dir
 # Requests of a busy run walked by one task.
 CHUNK_ROWS = 1_000_000
 _TIME = "_t"
+# Fixed value: the key of requests that name no client.
+UNKNOWN = "unknown"
 
 
 def _timed(requests: DataFrame, window_us: int) -> DataFrame:
@@ -114,8 +116,13 @@ def admit(
     window_us: int = dims.ADMIT_WINDOW_MS * 1000,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Requests (client, ts, request_id) plus ``admitted``; ties in time go by request_id."""
+    """Requests (client, ts, request_id) plus ``admitted``; ties in time go by request_id.
+
+    Requests without a client share the budget of the client ``UNKNOWN``.
+    """
     spark = requests.sparkSession
+    client = requests.schema["client"].dataType
+    requests = requests.withColumn("client", F.coalesce(F.col("client").cast("string"), F.lit(UNKNOWN)))
     out = shared_dir(spark, "admission")
 
     def stored(df: DataFrame, name: str) -> DataFrame:
@@ -124,7 +131,8 @@ def admit(
 
     runs = stored(busy_runs(requests, max_requests, window_us, chunk_rows), "runs")
     placed = _timed(requests, window_us).join(runs, ["client", "_b"])
-    shown = ["client", "ts", "request_id", "admitted"]
+    given = F.col("client") if client.simpleString() == "string" else F.col("client").try_cast(client)
+    shown = [given.alias("client"), "ts", "request_id", "admitted"]
     quiet = placed.filter("NOT heavy").withColumn("admitted", F.lit(True)).select(*shown)
     # A quiet bucket that leads into a run seeds its first chunk: its requests are admitted and occupy the window.
     context = placed.filter("feeds IS NOT NULL").withColumn("run", F.col("feeds")).withColumn("chunk", F.lit(0).cast("bigint"))

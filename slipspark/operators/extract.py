@@ -38,7 +38,7 @@ SLASH_BET = rf"(?:\G|(?<=[/\r\n]))([^/\r\n]+?)/{_WS}(\d+)"
 # Every amount word ends in one of these characters, each of which is an amount word itself, and no word holds a digit:
 # so the last character before the amount decides, and words left of it may count as text.
 _AW_END = "[各下押买]"
-CHINESE_BET = rf"(?:\G|(?<=[，,。；;\r\n]))([^，,。；;\r\n]+?){_AW_END}{_WS}(\d+(?:\.\d+)?)"
+CHINESE_BET = rf"(?:\G|(?<=[，,。；;\r\n]))([^，,。；;\r\n]+?){_AW_END}{_WS}(\d+(?:\.\d+)?){_WS}+元?+"
 ZODIAC_BET = rf"(?:^|[，,。；;{JS_WS}])({_Z}){_WS}(?:{_AW})?{_WS}(\d+(?:\.\d+)?){_WS}元?"
 INLINE_POOL = rf"(?:二中[二三]|三中三){_WS}[^/，,。；;\r\n]+?/{_WS}\d+(?:\.\d+)?"
 ZODIAC_POOL = rf"^({_Z}{{4}}){_WS}复四三{_WS}(?:{_GW})?{_WS}(\d+(?:\.\d+)?|[{dims.CN_DIGITS}两十]+){_WS}元?\z"
@@ -490,12 +490,15 @@ def groups_of(mode: str, text: str) -> Column:
     chain = F.when(F.lit(False), F.lit(None))
     for name, extractor in _EXTRACTORS.items():
         chain = chain.when(F.col(mode) == name, extractor(text))
-    return chain
+    return F.coalesce(chain, empty(GROUPS))
 
 
 def with_groups(slips: DataFrame) -> DataFrame:
-    """Wide slips (one text column per mode) plus a ``groups_<mode>`` array column for each. Map-only."""
-    return slips.withColumns({f"groups_{mode}": _EXTRACTORS[mode](mode) for mode in dims.MODES})
+    """Wide slips (one text column per mode) plus a ``groups_<mode>`` array column for each. Map-only.
+
+    An absent text holds no bet.
+    """
+    return slips.withColumns({f"groups_{mode}": F.coalesce(_EXTRACTORS[mode](mode), empty(GROUPS)) for mode in dims.MODES})
 
 
 def group_rows(slips: DataFrame, groups: Column, keys: tuple[str, ...] = ("slip_id",)) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +23,12 @@ def with_previous(
     ends = split.groupBy(*keys, "_bucket").agg(F.max_by(value, F.struct(*order)).alias("_end"))
     carried = F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket"))
     handed = ends.withColumn("_carry", carried).drop("_end")
+    # null-safe: rows without a key or a time are a key and a bucket of their own
+    named = handed.select(*(F.col(c).alias(f"_key_{c}") for c in (*keys, "_bucket")), "_carry")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in (*keys, "_bucket")))
     return (
         split.withColumn("_inside", inside)
-        .join(handed, [*keys, "_bucket"])
+        .join(named, same)
         .withColumn(name, F.coalesce("_inside", "_carry"))
-        .drop("_bucket", "_inside", "_carry")
+        .drop("_bucket", "_inside", "_carry", *(f"_key_{c}" for c in (*keys, "_bucket")))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from slipspark import dims
 from slipspark.functions.combos import combination_count
 from slipspark.functions.lets import let
 from slipspark.functions.text import MONEY, nullif_blank, plain_number
-from slipspark.functions.tokens import number_zodiac, two_digits
+from slipspark.functions.tokens import number_zodiac, numbers_in, two_digits
 
 # A draw row is a few hundred bytes: this bound keeps a broadcast below about 100 MB.
 MAX_BROADCAST_DRAWS = 200_000
@@ -21,34 +23,63 @@ def drawn_set(special: Column, extras: Column) -> Column:
     return F.array_compact(F.array_distinct(F.concat(F.array(special), extras)))
 
 
+def with_extras(draws: DataFrame) -> DataFrame:
+    """Draws whose other numbers come as text get ``numbers``: all numbers 1 to 49 that the text holds, in its order."""
+    if "numbers" in draws.columns or "extras" not in draws.columns:
+        return draws
+    return draws.withColumn("numbers", numbers_in(F.coalesce("extras", F.lit(""))))
+
+
 def drawn_zodiacs(given: Column, drawn: Column, order: str = dims.ZODIAC_ORDER) -> Column:
     """Distinct zodiacs of the given one and of every drawn number."""
     derived = F.transform(drawn, lambda n: number_zodiac(n, order))
     return F.array_compact(F.array_distinct(F.concat(F.array(nullif_blank(given)), derived)))
 
 
-def draw_inputs(draws: DataFrame, key: str = "draw_date", order: str = dims.ZODIAC_ORDER) -> DataFrame:
-    """Draws reduced to what settlement reads; a zodiac missing from the feed comes from the number."""
+def keys_of(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def one_per_key(draws: DataFrame, key: str | Sequence[str] = "draw_date") -> DataFrame:
+    """The last synced draw of each key, ties by issue, then by what was drawn."""
+    keys = keys_of(key)
+    rest = [c for c in draws.columns if c not in keys]
+    rank = [c for c in ("synced_at", "issue") if c in rest]
+    return draws.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*rank, *(c for c in rest if c not in rank))).alias("d")).select(*keys, "d.*")
+
+
+def draw_inputs(draws: DataFrame, key: str | Sequence[str] = "draw_date", order: str = dims.ZODIAC_ORDER) -> DataFrame:
+    """Draws reduced to what settlement reads, one per key (a date, or a lottery and a date).
+
+    A zodiac missing from the feed comes from the number. Of several draws of a key the last synced one counts.
+    """
+    draws = one_per_key(with_extras(draws), key)
     special_zodiac = F.coalesce(nullif_blank(F.get("zodiacs", F.lit(6))), number_zodiac(F.col("special"), order))
     return (
         draws.withColumn("draw_zodiac", special_zodiac)
         .withColumn("drawn", drawn_set(F.col("special"), F.col("numbers")))
         .withColumn("drawn_zodiacs", drawn_zodiacs(F.col("draw_zodiac"), F.col("drawn"), order))
-        .select(key, "special", "draw_zodiac", "drawn", "drawn_zodiacs")
+        .select(*keys_of(key), "special", "draw_zodiac", "drawn", "drawn_zodiacs")
     )
 
 
-def with_draw(slips: DataFrame, draws: DataFrame, key: str = "draw_date", max_rows: int = MAX_BROADCAST_DRAWS) -> DataFrame:
-    """Equi-join slips to draws, one draw per key.
+def with_draw(slips: DataFrame, draws: DataFrame, key: str | Sequence[str] = "draw_date", max_rows: int = MAX_BROADCAST_DRAWS) -> DataFrame:
+    """Equi-join slips to the inputs of ``draw_inputs``; a slip whose draw isn't there yet stays, with nothing drawn.
 
     Draws within ``max_rows`` are broadcast and the slips never move. A longer draw table is joined by shuffle, each
     draw copied to every salt so that a date holding a large share of the slips is spread over ``SALTS`` tasks.
     """
+    keys = keys_of(key)
     if draws.limit(max_rows + 1).count() <= max_rows:
-        return slips.join(F.broadcast(draws), key)
+        return _filled(slips.join(F.broadcast(draws), keys, "left"))
     salted = draws.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = slips.withColumn("salt", F.pmod(F.xxhash64("slip_id"), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, [key, "salt"]).drop("salt")
+    return _filled(spread.join(salted, [*keys, "salt"], "left").drop("salt"))
+
+
+def _filled(slips: DataFrame) -> DataFrame:
+    none = {"draw_zodiac": F.lit(""), "drawn": F.array().cast("array<int>"), "drawn_zodiacs": F.array().cast("array<string>")}
+    return slips.withColumns({name: F.coalesce(name, value) for name, value in none.items()})
 
 
 def straight_hits(numbers: Column, special: Column) -> Column:

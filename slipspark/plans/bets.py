@@ -156,17 +156,17 @@ def summary_draw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def status_text(spark: SparkSession, sf: str) -> DataFrame:
-    per_mode = sm.mode_summaries(settled_slips(spark, sf))
+    # One extraction of the slips gives both the modes' and the slips' totals.
+    modes = [F.struct(F.lit("settled").alias("kind"), F.lit(m).alias("mode"), sm.totals(F.col(f"groups_{m}"), F.col(f"winners_{m}")).alias("t")) for m in dims.MODES]
+    whole = F.struct(F.lit("whole").alias("kind"), F.lit("all").alias("mode"), sm.slip_totals().alias("t"))
+    settled = settled_slips(spark, sf).select(F.explode(F.array(*modes, whole)).alias("s")).select("s.kind", "s.mode", "s.t.*")
+    said = F.when(F.col("kind") == "whole", sm.status_text()).otherwise(sm.status_text(F.col("mode")))
     # A text of another mode parses to nothing, which shows the empty texts too.
     crossed = fx.slips(spark, sf).selectExpr(
         "slip_id", "lianma AS pingma", "pingma AS lianma", "'' AS fushi"
     )
     drafts = sm.mode_summaries(ex.with_groups(crossed), settled=False)
-    said = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), "mode", sm.status_text(F.col("mode")).alias("status"))
-    whole = sm.all_mode_summaries(settled_slips(spark, sf)).select(
-        F.lit("whole").alias("kind"), F.lit("all").alias("mode"), sm.status_text().alias("status")
-    )
-    rows = said(per_mode, "settled").unionByName(said(drafts, "crossed")).unionByName(whole)
+    rows = settled.unionByName(drafts.drop("slip_id").withColumn("kind", F.lit("crossed"))).select("kind", "mode", said.alias("status"))
     return rows.groupBy("kind", "mode", "status").agg(F.count("*").alias("slips"))
 
 

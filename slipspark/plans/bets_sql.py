@@ -152,12 +152,13 @@ RAW = (
     f"UNION ALL {zodiac_bets(f'({SLASH_LINES} + {CN_LINES})')} UNION ALL {blocks()} UNION ALL {inline_pools()} "
     f"UNION ALL {zodiac_pools(ZODIAC_POOL_LINE)} UNION ALL {listed()})"
 )
-GROUPS = f"{BASE}, {RAW}, groups AS (SELECT *, row_number() OVER (PARTITION BY k, mode ORDER BY fam, pos) - 1 AS ord FROM raw)"
+GONE = " OR ".join(f"mode = '{mode}' AND {when}" for mode, when in fx.ABSENT.items())
+GROUPS = f"{BASE}, {RAW}, groups AS (SELECT *, row_number() OVER (PARTITION BY k, mode ORDER BY fam, pos) - 1 AS ord FROM raw WHERE NOT ({GONE}))"
 DRAWS = f"""
 days AS (SELECT DISTINCT draw_date, date_diff('day', DATE '1995-01-01', draw_date) AS d FROM base),
 draws AS (SELECT draw_date, CAST({fx.draw_number('6')} AS INTEGER) AS special,
   list_prepend({fx.draw_number('6')}, {T.each('6', 'i', fx.draw_number('i'))}) AS drawn,
-  {zodiac_of(fx.draw_number('6'))} AS draw_zodiac, {T.each('7', 'i', zodiac_of(fx.draw_number('i')))} AS drawn_zodiacs FROM days)"""
+  {zodiac_of(fx.draw_number('6'))} AS draw_zodiac, {T.each('7', 'i', zodiac_of(fx.draw_number('i')))} AS drawn_zodiacs FROM days WHERE NOT {fx.UNDRAWN})"""
 
 
 def settled_from(groups: str) -> str:
@@ -169,7 +170,7 @@ hit AS (SELECT s.*, special, draw_zodiac, CAST(CASE kind
     WHEN 'pool' THEN len(list_filter(nums, lambda x: list_contains(drawn, x)))
     WHEN 'listed' THEN len({won})
     ELSE CASE {zodiac_hits} WHEN 4 THEN 4 WHEN 3 THEN 1 ELSE 0 END END AS BIGINT) AS hit_count
-  FROM {groups} s JOIN draws USING (draw_date)),
+  FROM {groups} s LEFT JOIN draws USING (draw_date)),
 settled AS (SELECT *, CAST(w AS BIGINT) AS win_units, w * amt * odds AS win_amount FROM (SELECT *, CASE WHEN kind <> 'pool' THEN hit_count
     WHEN pick = 2 THEN hit_count * (hit_count - 1) / 2 ELSE hit_count * (hit_count - 1) * (hit_count - 2) / 6 END AS w FROM hit))"""
 
@@ -323,8 +324,8 @@ WITH {SETTLED}, {PER_MODE} SELECT k AS slip_id, mode, total_bet_amount, total_wi
     "summary_all": f"""
 WITH {SETTLED}, {PER_MODE} SELECT k AS slip_id, {SUMMED}, CAST(sum(winner_count) AS BIGINT) AS winner_count FROM per_mode GROUP BY k""",
     "summary_draft": f"""
-WITH {GROUPS} SELECT k AS slip_id, CAST(sum(units * amt) AS DOUBLE) AS total_bet_amount, CAST(0 AS DOUBLE) AS total_win_amount,
-  CAST(sum(len(nums)) AS BIGINT) AS entry_count, count(*) AS group_count FROM groups GROUP BY k""",
+WITH {GROUPS} SELECT k AS slip_id, coalesce(CAST(sum(units * amt) AS DOUBLE), 0) AS total_bet_amount, CAST(0 AS DOUBLE) AS total_win_amount,
+  coalesce(CAST(sum(len(nums)) AS BIGINT), 0) AS entry_count, count(mode) AS group_count FROM base LEFT JOIN groups USING (k) GROUP BY k""",
     "summary_draw": f"""
 WITH {SETTLED}, {PER_MODE} SELECT CAST(draw_date AS VARCHAR) AS draw_date, mode, {SUMMED},
   CAST(sum(winner_count) AS BIGINT) AS winner_count, count(*) AS slips FROM per_mode GROUP BY 1, 2""",
@@ -334,7 +335,7 @@ WITH {SETTLED}, {PER_MODE}, said AS (
     WHEN mode = 'lianma' THEN '{EMPTY['lianma']}' ELSE '{EMPTY['fushi']}' END AS status FROM per_mode
   UNION ALL SELECT 'crossed', mode, CASE mode WHEN 'pingma' THEN '{EMPTY['pingma']}' WHEN 'lianma' THEN '{EMPTY['lianma']}'
     ELSE '{EMPTY['fushi']}' END FROM base CROSS JOIN modes
-  UNION ALL SELECT 'whole', 'all', {STATUS} FROM (SELECT k, CAST(sum(group_count) AS BIGINT) AS group_count,
+  UNION ALL SELECT 'whole', 'all', CASE WHEN group_count > 0 THEN {STATUS} ELSE '{dims.EMPTY_STATUS_ALL}' END FROM (SELECT k, CAST(sum(group_count) AS BIGINT) AS group_count,
     CAST(sum(entry_count) AS BIGINT) AS entry_count, CAST(sum(winner_count) AS BIGINT) AS winner_count FROM per_mode GROUP BY k))
 SELECT kind, mode, status, count(*) AS slips FROM said GROUP BY 1, 2, 3""",
     "report_text": f"""
@@ -343,7 +344,7 @@ WITH {SETTLED}, {PER_MODE}, t AS (SELECT k, sum(total_bet_amount) AS bet, sum(to
 w AS (SELECT k, string_agg(concat(user_name, '：', {HIT_TEXT}, '，中 ', {number_text('win_amount')}), chr(10) ORDER BY mode_ord, ord) AS won
   FROM settled JOIN modes USING (mode) WHERE win_units > 0 GROUP BY k)
 SELECT k AS slip_id, {REPORT_HEAD} coalesce(won, '{dims.NO_WINNERS}')) AS report
-FROM base JOIN draws USING (draw_date) JOIN t USING (k) LEFT JOIN w USING (k)""",
+FROM base LEFT JOIN draws USING (draw_date) JOIN t USING (k) LEFT JOIN w USING (k)""",
     "recognition_counts": f"""
 WITH {BASE}, n AS (SELECT 'pingma' AS mode, 2 + {fx.SLASH_GROUPS} AS n FROM base UNION ALL SELECT 'lianma', 1 + {fx.LISTED_LINES} FROM base
   UNION ALL SELECT 'fushi', CASE WHEN k % 7 = 0 THEN 3 ELSE 4 END FROM base)

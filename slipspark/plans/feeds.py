@@ -36,6 +36,13 @@ def _normalized(spark: SparkSession, sf: str) -> DataFrame:
     return dr.normalize(fx.feed(spark, sf))
 
 
+def _accepted_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted polls as a table: what compares rows with rows before reads it more than once, the feed is parsed once."""
+    path = shared_dir(spark, "accepted")
+    dr.accepted(_normalized(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def draw_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return _normalized(spark, sf).select(
         "event_id",
@@ -59,13 +66,13 @@ def _draw_shown(rows: DataFrame) -> DataFrame:
 
 
 def draw_new_issue(spark: SparkSession, sf: str) -> DataFrame:
-    good = dr.accepted(_normalized(spark, sf))
+    good = _accepted_once(spark, sf)
     marked = dr.with_new_issue(good, ("synced_at", "event_id"))
     return marked.filter("is_new_issue").select("event_id", "lottery_type", "issue")
 
 
 def draw_changed(spark: SparkSession, sf: str) -> DataFrame:
-    good = dr.accepted(_normalized(spark, sf))
+    good = _accepted_once(spark, sf)
     marked = dr.with_changed(good, ("synced_at", "event_id"))
     return marked.groupBy("lottery_type", "issue").agg(
         F.count_if("is_changed").alias("changes"), F.count_if("zodiac_mismatch").alias("mismatches"), F.count("*").alias("polls")
@@ -85,6 +92,15 @@ def draw_sync_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _draw_shown(draw_sync.newest(spark, out))
 
 
+def draw_sync_status(spark: SparkSession, sf: str) -> DataFrame:
+    """How the sync of the streamed feed went."""
+    out = shared_dir(spark, "draw-sync")
+    feed = fx.feed_from(_stream(spark, sf, "events")).drop("event_id")
+    draw_sync.sync(feed, out, interval=None).awaitTermination()
+    status = draw_sync.sync_status(spark, out)
+    return status.select(_stamp("last_attempt_at"), _stamp("last_success_at"), "attempts", "successes", F.coalesce("last_error", F.lit("")).alias("last_error"))
+
+
 def _settle(slips: DataFrame, draws: DataFrame) -> DataFrame:
     drawn = st.with_draw(slips, draws)
     return sm.all_mode_summaries(sm.with_winners(ex.with_groups(drawn)), ("slip_id", "draw_date"))
@@ -110,9 +126,7 @@ def admission(spark: SparkSession, sf: str) -> DataFrame:
 def admission_streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The same log through the stateful stream."""
     out = shared_dir(spark, "admission")
-    requests = _stream(spark, sf, "events").selectExpr(
-        "user_id AS client", "cast(ts AS timestamp) AS ts", "event_id AS request_id"
-    )
+    requests = _stream(spark, sf, "events").selectExpr(*fx.REQUEST)
     decided = admission_stream.admit_stream(requests, MAX_REQUESTS, WINDOW_US)
     query = (
         decided.writeStream.format("parquet")
@@ -132,6 +146,7 @@ QUERIES = {
     "draw_new_issue": draw_new_issue,
     "draw_changed": draw_changed,
     "draw_sync_stream": draw_sync_stream,
+    "draw_sync_status": draw_sync_status,
     "resettle_stream": resettle_stream,
     "trailing_requests": trailing_requests,
     "admission": admission,

@@ -5,13 +5,13 @@ from __future__ import annotations
 from slipspark.plans.bets_sql import SQL as BETS
 from slipspark.plans.bets_sql import zodiac_of
 from slipspark.sources import fixtures as fx
-from slipspark.sources.feeds import INCOMPLETE, NO_DATA
+from slipspark.sources.feeds import INCOMPLETE, NOT_JSON
 
 T = fx.CheckText
 ELEMENT = T.pick(["金", "木", "水", "火", "土"], f"{fx.feed_number('6')} % 5")
 POLLS = f"""
 polls AS (SELECT event_id, ts, event_type AS lottery_type, day(ts) AS d, length(event_type) AS t,
-  CASE WHEN event_id % 103 = 0 THEN '{NO_DATA}' WHEN event_id % 101 = 0 THEN 'busy' ELSE '' END AS fetch_error FROM events),
+  CASE WHEN event_id % 103 = 0 THEN '{NOT_JSON}<html>' WHEN event_id % 101 = 0 THEN 'busy' ELSE '' END AS fetch_error FROM events),
 feed AS (SELECT *, CASE WHEN fetch_error <> '' THEN fetch_error WHEN event_id % 97 = 0 THEN '{INCOMPLETE}' ELSE '' END AS error,
   CAST(2024000 + d AS VARCHAR) AS issue, {T.each('7', 'i', fx.feed_number('i'))} AS nums, {fx.feed_number('6')} AS special,
   event_id % 89 = 0 AS bare FROM polls),
@@ -21,15 +21,16 @@ LATEST = f"""
 WITH {POLLS}, r AS (SELECT *, row_number() OVER (PARTITION BY lottery_type ORDER BY ts DESC) AS rn FROM good)
 SELECT lottery_type, issue, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, array_to_string(nums, '.') AS numbers,
   strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS synced_at FROM r WHERE rn = 1"""
-ADMISSION = """
-WITH RECURSIVE r AS (SELECT user_id AS client, event_id, epoch_us(ts) AS t,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ASKED = f"asked AS (SELECT *, CASE WHEN {fx.NO_CLIENT} THEN NULL ELSE user_id END AS client FROM events)"
+ADMISSION = f"""
+WITH RECURSIVE {ASKED}, r AS (SELECT client, event_id, epoch_us(ts) AS t,
+    row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS n FROM asked),
 walk AS (
   SELECT client, event_id, n, true AS admitted, [t] AS recent FROM r WHERE n = 1
   UNION ALL
   SELECT client, event_id, n, len(kept) < 5, CASE WHEN len(kept) < 5 THEN list_append(kept, t) ELSE kept END
   FROM (SELECT r.client, r.event_id, r.n, r.t, list_filter(w.recent, lambda x: r.t - x < 259200000000) AS kept
-    FROM walk w JOIN r ON r.client = w.client AND r.n = w.n + 1))
+    FROM walk w JOIN r ON r.client IS NOT DISTINCT FROM w.client AND r.n = w.n + 1))
 SELECT client, event_id AS request_id, admitted FROM walk"""
 
 SQL = {
@@ -49,10 +50,13 @@ SELECT event_id, lottery_type, issue FROM p WHERE before IS DISTINCT FROM issue"
 WITH {POLLS}, p AS (SELECT *, lag(nums) OVER (PARTITION BY lottery_type ORDER BY ts, event_id) AS before FROM good)
 SELECT lottery_type, issue, count(*) FILTER (before IS DISTINCT FROM nums) AS changes, CAST(0 AS BIGINT) AS mismatches, count(*) AS polls
 FROM p GROUP BY 1, 2""",
-    "resettle_stream": BETS["summary_all"],
-    "trailing_requests": """
-SELECT user_id AS client, event_id AS request_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)
-  RANGE BETWEEN 259199999999 PRECEDING AND CURRENT ROW) AS trailing FROM events""",
+    "draw_sync_status": f"""
+WITH {POLLS} SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_attempt_at, strftime(max(ts) FILTER ({GOOD}), '%Y-%m-%d %H:%M:%S.%f') AS last_success_at,
+  count(*) AS attempts, count(*) FILTER ({GOOD}) AS successes, arg_max(error, ts) AS last_error FROM feed""",
+    "resettle_stream": BETS["summary_all"].replace("FROM per_mode", "FROM per_mode JOIN draws USING (draw_date)"),
+    "trailing_requests": f"""
+WITH {ASKED} SELECT client, event_id AS request_id, count(*) OVER (PARTITION BY client ORDER BY epoch_us(ts)
+  RANGE BETWEEN 259199999999 PRECEDING AND CURRENT ROW) AS trailing FROM asked""",
     "admission": ADMISSION,
     "admission_stream": ADMISSION,
 }

@@ -16,7 +16,7 @@ def _items(count: str) -> str:
     return f"(SELECT *, CAST(unnest(range(0, CAST({count} AS INTEGER))) AS BIGINT) AS i FROM base)"
 
 
-SCORE = f"CASE WHEN i < {fx.IMAGE_BOXES} - k % 2 THEN {fx.box_score('i')} ELSE 0.0 END"
+SCORE = f"CASE WHEN {fx.NO_SCORES} THEN 0.0 WHEN i < {fx.IMAGE_BOXES} - k % 2 THEN {fx.box_score('i')} ELSE 0.0 END"
 ITEMS = (
     f"items AS (SELECT k, c, i, {fx.IMAGE_WIDTH} AS width, {fx.IMAGE_HEIGHT} AS height, CAST({fx.box_x('i')} AS DOUBLE) AS x, "
     f"CAST({fx.box_y('i')} AS DOUBLE) AS y, {fx.box_text('i')} AS text, CAST({SCORE} AS DOUBLE) AS score FROM {_items(fx.IMAGE_BOXES)})"
@@ -65,7 +65,7 @@ FAST = f"fast AS ({best('inside', 'k, number', 'round_even({}, 4)')})"
 READS = f"""
 reads AS (SELECT k, {fx.reading_number('i')} AS number, i, {amount('(i + 1)')} AS v, CAST({fx.box_score('(i + 5)')} AS DOUBLE) AS score
   FROM {_items(fx.READINGS)}),
-usable AS (SELECT * FROM reads WHERE number % 11 <> 0 AND v BETWEEN 1 AND 9999)"""
+usable AS (SELECT * FROM reads WHERE (number % 11 <> 0 OR {fx.NO_BLANKS}) AND v BETWEEN 1 AND 9999)"""
 VERIFY = f"verify AS ({best('usable', 'k, number', '{}')})"
 MERGE = f"""
 passes AS (SELECT coalesce(f.k, v.k) AS k, coalesce(f.number, v.number) AS number, f.s.v AS fv, f.s.conf AS fc,

@@ -65,12 +65,12 @@ def slip_source(spark: SparkSession, sf: str) -> DataFrame:
 
 def slip_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Raw index, index among non-blank lines, and how many lines and characters stand there."""
-    lines = fx.slips(spark, sf).select(raw_lines(F.col("pingma")).alias("lines"))
-    rows = exploded(lines, ("lines",), "lines", "line", "raw_idx").filter("line <> ''")
+    lines = to_long(fx.slips(spark, sf)).select("mode", raw_lines(F.col("raw_text")).alias("lines"))
+    rows = exploded(lines, ("mode", "lines"), "lines", "line", "raw_idx").filter("line <> ''")
     before = F.slice("lines", F.lit(1), F.col("raw_idx"))
     return (
         rows.withColumn("nb_idx", F.size(non_blank(before)))
-        .groupBy(F.col("raw_idx").cast("bigint").alias("raw_idx"), F.col("nb_idx").cast("bigint").alias("nb_idx"))
+        .groupBy("mode", F.col("raw_idx").cast("bigint").alias("raw_idx"), F.col("nb_idx").cast("bigint").alias("nb_idx"))
         .agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
     )
 

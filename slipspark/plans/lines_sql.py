@@ -21,7 +21,10 @@ def zodiac(number: str) -> str:
 
 
 def _texts(mode: str, text: str) -> str:
-    return f"SELECT '{mode}' AS mode, {text} AS raw_text FROM base"
+    return f"SELECT k, '{mode}' AS mode, {fx.present(mode, text)} AS raw_text FROM base"
+
+
+TEXTS = f"{_texts('pingma', fx.pingma_text(T))} UNION ALL {_texts('lianma', fx.listed_text(T))} UNION ALL {_texts('fushi', fx.fushi_text(T))}"
 
 
 def _clean(read: str) -> str:
@@ -36,17 +39,16 @@ FROM read GROUP BY 1"""
 
 SQL = {
     "slip_source": f"""
-WITH {BASE}, t AS ({_texts('pingma', fx.pingma_text(T))} UNION ALL {_texts('lianma', fx.listed_text(T))}
-  UNION ALL {_texts('fushi', fx.fushi_text(T))})
+WITH {BASE}, t AS ({TEXTS})
 SELECT mode, count(*) AS slips, CAST(sum(length(raw_text)) AS BIGINT) AS chars,
   CAST(sum(length(raw_text) - length(replace(raw_text, chr(10), '')) + 1) AS BIGINT) AS lines
 FROM t GROUP BY 1""",
     "slip_lines": f"""
-WITH {BASE}, t AS (SELECT k, string_split({fx.pingma_text(T)}, chr(10)) AS ls FROM base),
-r AS (SELECT k, unnest(ls) AS line, unnest(range(0, len(ls))) AS raw_idx FROM t),
-n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY raw_idx) - 1 AS nb_idx FROM r WHERE line <> '')
-SELECT CAST(raw_idx AS BIGINT) AS raw_idx, CAST(nb_idx AS BIGINT) AS nb_idx, count(*) AS lines,
-  CAST(sum(length(line)) AS BIGINT) AS chars FROM n GROUP BY 1, 2""",
+WITH {BASE}, texts AS ({TEXTS}), t AS (SELECT k, mode, string_split(raw_text, chr(10)) AS ls FROM texts),
+r AS (SELECT k, mode, unnest(ls) AS line, unnest(range(0, len(ls))) AS raw_idx FROM t),
+n AS (SELECT *, row_number() OVER (PARTITION BY k, mode ORDER BY raw_idx) - 1 AS nb_idx FROM r WHERE line <> '')
+SELECT mode, CAST(raw_idx AS BIGINT) AS raw_idx, CAST(nb_idx AS BIGINT) AS nb_idx, count(*) AS lines,
+  CAST(sum(length(line)) AS BIGINT) AS chars FROM n GROUP BY 1, 2, 3""",
     "normalize_number": f"""
 WITH {LINES}, r AS (SELECT CASE ln % 4 WHEN 0 THEN p % 60 WHEN 1 THEN s % 60 WHEN 2 THEN q ELSE NULL END AS v FROM lines)
 SELECT CASE WHEN v {VALID} THEN CAST(v AS BIGINT) END AS number, count(*) AS tokens FROM r GROUP BY 1""",

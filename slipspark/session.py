@@ -29,9 +29,15 @@ def build_session(master: str | None = None, app: str = "slipspark", **conf: str
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``.
 
-    Only when the session names no folder (tests on one machine) does it fall back to a temporary one.
+    Executors of a cluster must share the folder, so there it is an error to name none. Only a local master, as in tests,
+    falls back to a temporary one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the master is {master}")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

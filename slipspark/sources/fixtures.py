@@ -244,15 +244,26 @@ def keyed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(orders.selectExpr("o_orderkey AS k", "o_custkey AS c", "cast(o_orderdate AS date) AS draw_date"))
 
 
+# Some slips lack a text, some days a draw; some images come without scores or blank cells, some requests without client.
+ABSENT = {"pingma": "k % 41 = 3", "lianma": "k % 43 = 5", "fushi": "k % 47 = 7"}
+UNDRAWN = "d % 13 = 6"
+NO_SCORES, NO_BLANKS = "k % 29 = 4", "k % 23 = 9"
+NO_CLIENT = "event_id % 31 = 0"
+
+
+def present(mode: str, text: str) -> str:
+    return f"CASE WHEN {ABSENT[mode]} THEN NULL ELSE {text} END"
+
+
 def slips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide slips, one per order."""
     t = SparkText
     return keyed_orders(spark, sf_dir).selectExpr(
         "k AS slip_id",
         "draw_date",
-        f"{pingma_text(t)} AS pingma",
-        f"{listed_text(t)} AS lianma",
-        f"{fushi_text(t)} AS fushi",
+        f"{present('pingma', pingma_text(t))} AS pingma",
+        f"{present('lianma', listed_text(t))} AS lianma",
+        f"{present('fushi', fushi_text(t))} AS fushi",
     )
 
 
@@ -275,14 +286,14 @@ def draw_number(i: str) -> str:
 
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One draw per order date; every third draw comes without zodiacs."""
+    """One draw per order date but for undrawn ones; every third draw comes without zodiacs."""
     return draws_from(table(spark, sf_dir, "orders"))
 
 
 def draws_from(orders: DataFrame) -> DataFrame:
     t = SparkText
     dated = orders.selectExpr("cast(o_orderdate AS date) AS draw_date").distinct()
-    day = dated.withColumn("d", F.datediff("draw_date", F.lit("1995-01-01").cast("date")))
+    day = dated.withColumn("d", F.datediff("draw_date", F.lit("1995-01-01").cast("date"))).where(f"NOT {UNDRAWN}")
     return day.selectExpr(
         "draw_date",
         f"cast({t.each('7', 'i', draw_number('i'))} AS array<int>) AS numbers",
@@ -325,10 +336,13 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed_from(spread(table(spark, sf_dir, "events")))
 
 
+REQUEST = (f"CASE WHEN {NO_CLIENT} THEN NULL ELSE user_id END AS client", "cast(ts AS timestamp) AS ts", "event_id AS request_id")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request log: one request per event."""
     return table(spark, sf_dir, "events").selectExpr(
-        "user_id AS client", "cast(ts AS timestamp) AS ts", "event_id AS request_id"
+        *REQUEST
     )
 
 
@@ -372,7 +386,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"cast({IMAGE_HEIGHT} AS int) AS height",
         f"{t.each(IMAGE_BOXES, 'i', box)} AS boxes",
         f"{t.each(IMAGE_BOXES, 'i', box_text('i'))} AS txts",
-        f"{t.each(f'({IMAGE_BOXES} - k % 2)', 'i', box_score('i'))} AS scores",
+        f"CASE WHEN {NO_SCORES} THEN NULL ELSE {t.each(f'({IMAGE_BOXES} - k % 2)', 'i', box_score('i'))} END AS scores",
     )
 
 
@@ -388,7 +402,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"'score', {box_score('(i + 5)')})"
     )
     return keyed_orders(spark, sf_dir).selectExpr(
-        "k AS image_id", f"{t.each(READINGS, 'i', one)} AS readings", "array(11, 22, 33, 44) AS blank"
+        "k AS image_id", f"{t.each(READINGS, 'i', one)} AS readings", f"CASE WHEN {NO_BLANKS} THEN NULL ELSE array(11, 22, 33, 44) END AS blank"
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from slipspark import dims
+from slipspark.operators.admission import UNKNOWN
 
 
 def admit_stream(
@@ -19,9 +20,10 @@ def admit_stream(
     """Stream of requests (client, ts, request_id) plus ``admitted``.
 
     Batches must follow each other in time, as a request log does. The state never holds more than ``max_requests``
-    times per client, and a batch's requests of a client are walked once in time order.
+    times per client, and a batch's requests of a client are walked once in time order. Requests without a client share the
+    budget of the client ``UNKNOWN``.
     """
-    client_type = requests.schema["client"].dataType.simpleString()
+    client_type = requests.schema["client"].dataType
     id_type = requests.schema["request_id"].dataType.simpleString()
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -38,11 +40,13 @@ def admit_stream(
         state.update((list(recent),))
         yield batch.assign(admitted=decisions)[["client", "request_id", "t", "admitted"]]
 
-    timed = requests.select("client", "request_id", F.unix_micros("ts").alias("t"))
-    return timed.groupBy("client").applyInPandasWithState(
+    client = F.coalesce(F.col("client").cast("string"), F.lit(UNKNOWN)).alias("client")
+    timed = requests.select(client, "request_id", F.unix_micros("ts").alias("t"))
+    decided = timed.groupBy("client").applyInPandasWithState(
         decide,
-        outputStructType=f"client {client_type}, request_id {id_type}, t bigint, admitted boolean",
+        outputStructType=f"client string, request_id {id_type}, t bigint, admitted boolean",
         stateStructType="recent array<bigint>",
         outputMode="append",
         timeoutConf=GroupStateTimeout.NoTimeout,
     )
+    return decided.withColumn("client", F.col("client").try_cast(client_type))

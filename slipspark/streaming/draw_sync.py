@@ -50,9 +50,11 @@ def newest(spark: SparkSession, out: str) -> DataFrame:
 
 
 def sync_status(spark: SparkSession, out: str) -> DataFrame:
-    """Attempts, successes and the last error, from the polls written so far."""
+    """Attempts, successes and the error of the last attempt (none once one has succeeded), from the polls so far."""
     return polls(spark, out).agg(
         F.max("synced_at").alias("last_attempt_at"),
         F.max(F.when(F.col("error").isNull(), F.col("synced_at"))).alias("last_success_at"),
-        F.max_by("error", F.when(F.col("error").isNotNull(), F.col("synced_at"))).alias("last_error"),
-    )
+        F.count("*").alias("attempts"),
+        F.count_if(F.col("error").isNull()).alias("successes"),
+        F.max_by(F.struct("error"), "synced_at").alias("last"),
+    ).select("last_attempt_at", "last_success_at", "attempts", "successes", F.col("last.error").alias("last_error"))

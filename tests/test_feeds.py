@@ -20,7 +20,10 @@ PAYLOADS = {
     GOOD.replace('"code":1', '"code":0'): "源站没有返回最新开奖数据",
     '{"code":0,"msg":"busy","data":[]}': "busy",
     '{"code":1,"data":[]}': "源站没有返回最新开奖数据",
-    "<html>": "源站没有返回最新开奖数据",
+    "<html>": "源站返回的不是 JSON：<html>",
+    "x" * 200: "源站返回的不是 JSON：" + "x" * 120,
+    "": "源站返回的不是 JSON：",
+    "null": "源站没有返回最新开奖数据",
 }
 
 
@@ -124,4 +127,4 @@ def test_sync_over_batches(spark, tmp_path):
     query.awaitTermination()
     assert draw_sync.polls(spark, out).count() == 3
     assert [r.issue for r in draw_sync.newest(spark, out).collect()] == ["2024010"]
-    assert draw_sync.sync_status(spark, out).first().last_error == "源站没有返回最新开奖数据"
+    assert draw_sync.sync_status(spark, out).first().last_error == "源站返回的不是 JSON：<html>"
