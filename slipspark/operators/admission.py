@@ -7,8 +7,8 @@ one exactly what is still in its window. Only runs of fuller buckets, the busy r
 
 A client that is busy all the time is one long run, so runs are cut into chunks of bounded size that are walked in
 parallel. A chunk starts from what the chunk before admitted in its last bucket. The first round guesses that nothing
-was; each further round walks again only the chunks whose start turned out different, until none does. That is exact,
-since the first chunk of a run is right at once and every round settles at least one more.
+was; each further round walks again, and writes, only the chunks whose start turned out different, until none does. That
+is exact, since the first chunk of a run is right at once and every round settles at least one more.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,23 +71,30 @@ def busy_runs(requests: DataFrame, max_requests: int, window_us: int, chunk_rows
 
 
 def walk(batches: Iterator[pd.DataFrame], max_requests: int, window_us: int) -> Iterator[pd.DataFrame]:
-    """Decide requests sorted by chunk and time; holds at most ``max_requests`` times of one chunk.
+    """Decide requests sorted by chunk and time; holds the last ``max_requests`` admitted times of one chunk.
 
-    Seed rows are requests admitted before the chunk; they take their place in the window.
+    A full window opens again when its oldest member leaves it, so the walk jumps there: its work is in the admitted
+    requests. Seed rows are requests admitted before the chunk; they take their place in the window.
     """
-    key, recent = None, deque()
+    key, recent = None, deque(maxlen=max_requests)
     for batch in batches:
-        decisions = []
-        for *chunk, t, seed in zip(batch["client"], batch["run"], batch["chunk"], batch[_TIME], batch["seed"]):
-            if chunk != key:
-                key, recent = chunk, deque()
-            while recent and t - recent[0] >= window_us:
-                recent.popleft()
-            admit = seed or len(recent) < max_requests
-            if admit:
-                recent.append(t)
-            decisions.append(bool(admit))
-        yield batch.assign(admitted=decisions)
+        admitted = np.zeros(len(batch), bool)
+        times, seeds = batch[_TIME].to_numpy(np.int64), batch["seed"].to_numpy(bool)
+        keys = list(zip(batch["client"], batch["run"], batch["chunk"]))
+        starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+        for first, last in zip(starts, [*starts[1:], len(keys)]):
+            if keys[first] != key:
+                key = keys[first]
+                recent.clear()
+            i = first
+            while i < last:
+                if seeds[i] or len(recent) < max_requests or times[i] - recent[0] >= window_us:
+                    admitted[i] = True
+                    recent.append(times[i])
+                    i += 1
+                else:
+                    i += int(np.searchsorted(times[i:last], recent[0] + window_us))
+        yield batch.assign(admitted=admitted)
 
 
 _CHUNK = ["client", "run", "chunk"]
@@ -110,6 +118,13 @@ def _walked(rows: DataFrame, seeds: DataFrame, max_requests: int, window_us: int
     return decided.filter("NOT seed")
 
 
+def _handed(decided: DataFrame) -> DataFrame:
+    """What each chunk hands to the next: its admitted requests of the last bucket, at most ``max_requests``."""
+    admitted = F.collect_list(F.when(F.col("admitted"), F.struct(_TIME, "request_id")))
+    ends = decided.filter("opens IS NOT NULL").withColumn("chunk", F.col("opens"))
+    return ends.groupBy(*_CHUNK).agg(F.array_sort(admitted).alias("state"))
+
+
 def admit(
     requests: DataFrame,
     max_requests: int = dims.ADMIT_MAX,
@@ -129,10 +144,10 @@ def admit(
         df.write.mode("overwrite").parquet(f"{out}/{name}")
         return spark.read.parquet(f"{out}/{name}")
 
-    runs = stored(busy_runs(requests, max_requests, window_us, chunk_rows), "runs")
-    placed = _timed(requests, window_us).join(runs, ["client", "_b"])
     given = F.col("client") if client.simpleString() == "string" else F.col("client").try_cast(client)
     shown = [given.alias("client"), "ts", "request_id", "admitted"]
+    runs = stored(busy_runs(requests, max_requests, window_us, chunk_rows), "runs")
+    placed = _timed(requests, window_us).join(runs, ["client", "_b"])
     quiet = placed.filter("NOT heavy").withColumn("admitted", F.lit(True)).select(*shown)
     # A quiet bucket that leads into a run seeds its first chunk: its requests are admitted and occupy the window.
     context = placed.filter("feeds IS NOT NULL").withColumn("run", F.col("feeds")).withColumn("chunk", F.lit(0).cast("bigint"))
@@ -140,21 +155,20 @@ def admit(
     if runs.filter("opens IS NOT NULL").isEmpty():
         return _walked(heavy, context, max_requests, window_us).select(*shown).unionByName(quiet)
 
-    def seeds_of(decided: DataFrame) -> DataFrame:
-        """What a chunk hands to the next: its admitted requests of the last bucket, at most ``max_requests``."""
-        return decided.filter("admitted AND opens IS NOT NULL").withColumn("chunk", F.col("opens")).select(*_SEED)
-
-    decided = stored(_walked(heavy, context, max_requests, window_us), "round-0")
-    used, turn = decided.limit(0).select(*_SEED), 0
-    while True:
-        handed = seeds_of(decided)
-        changed = handed.exceptAll(used).unionByName(used.exceptAll(handed)).select(*_CHUNK).distinct()
+    heavy = stored(heavy.select(*_ROW), "heavy")
+    decided = stored(_walked(heavy, context, max_requests, window_us), "rounds/turn=0")
+    handed = stored(_handed(decided), "handed/turn=0")
+    dirty, turn = stored(handed.filter("size(state) > 0"), "dirty-0"), 0
+    while not dirty.isEmpty():
         turn += 1
-        dirty = stored(changed, f"dirty-{turn}")
-        if dirty.isEmpty():
-            return decided.select(*shown).unionByName(quiet)
-        seeds = stored(handed, f"seeds-{turn}")
+        seeds = dirty.select(*_CHUNK, F.explode("state").alias("s")).select(*_CHUNK, F.col(f"s.{_TIME}").alias(_TIME), "s.request_id")
         # Only a later chunk can be handed something new, so context, which seeds first chunks, is not needed again.
-        again = _walked(heavy.join(dirty, _CHUNK, "left_semi"), seeds.join(dirty, _CHUNK, "left_semi"), max_requests, window_us)
-        decided = stored(decided.join(dirty, _CHUNK, "left_anti").unionByName(again), f"round-{turn}")
-        used = seeds
+        again = _walked(heavy.join(dirty, _CHUNK, "left_semi"), seeds, max_requests, window_us)
+        again = stored(again, f"rounds/turn={turn}")
+        before = spark.read.parquet(f"{out}/handed").groupBy(*_CHUNK).agg(F.max_by("state", "turn").alias("before"))
+        changed = _handed(again).join(before, _CHUNK, "left").filter("NOT state <=> before").drop("before")
+        dirty = stored(changed, f"dirty-{turn}")
+        dirty.write.parquet(f"{out}/handed/turn={turn}")
+    every = spark.read.parquet(f"{out}/rounds")
+    last = every.groupBy(*_CHUNK).agg(F.max("turn").alias("turn"))
+    return every.join(last, [*_CHUNK, "turn"]).select(*shown).unionByName(quiet)

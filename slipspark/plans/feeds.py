@@ -101,6 +101,15 @@ def draw_sync_status(spark: SparkSession, sf: str) -> DataFrame:
     return status.select(_stamp("last_attempt_at"), _stamp("last_success_at"), "attempts", "successes", F.coalesce("last_error", F.lit("")).alias("last_error"))
 
 
+def feed_settle(spark: SparkSession, sf: str) -> DataFrame:
+    """Slips settled with the draws that came through the feed, the last accepted poll of a lottery and day counting."""
+    keys = ["lottery_type", "date"]
+    draws = st.draw_inputs(dr.accepted(_normalized(spark, sf)).drop("event_id"), keys)
+    drawn = st.with_draw(fx.lottery_slips(spark, sf), draws, keys)
+    totals = sm.all_mode_summaries(sm.with_winners(ex.with_groups(drawn)), ("slip_id", *keys))
+    return shown(totals, "slip_id", *keys, *SUMMARY, "winner_count")
+
+
 def _settle(slips: DataFrame, draws: DataFrame) -> DataFrame:
     drawn = st.with_draw(slips, draws)
     return sm.all_mode_summaries(sm.with_winners(ex.with_groups(drawn)), ("slip_id", "draw_date"))
@@ -147,6 +156,7 @@ QUERIES = {
     "draw_changed": draw_changed,
     "draw_sync_stream": draw_sync_stream,
     "draw_sync_status": draw_sync_status,
+    "feed_settle": feed_settle,
     "resettle_stream": resettle_stream,
     "trailing_requests": trailing_requests,
     "admission": admission,

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from slipspark.plans.bets_sql import BASE, GROUPS, PER_MODE, SUMMED, settled_from, zodiac_of
 from slipspark.plans.bets_sql import SQL as BETS
-from slipspark.plans.bets_sql import zodiac_of
 from slipspark.sources import fixtures as fx
 from slipspark.sources.feeds import INCOMPLETE, NOT_JSON
 
@@ -33,7 +33,17 @@ walk AS (
     FROM walk w JOIN r ON r.client IS NOT DISTINCT FROM w.client AND r.n = w.n + 1))
 SELECT client, event_id AS request_id, admitted FROM walk"""
 
+FEED_BASE = f"""base AS (SELECT o_orderkey AS k, o_custkey AS c, {T.pick(fx.LOTTERIES, 'o_orderkey % 5')} || '|' ||
+  CAST(CAST(DATE '{fx.FEED_START}' + CAST(o_orderkey % {fx.FEED_DAYS} AS INTEGER) AS DATE) AS VARCHAR) AS draw_date FROM orders)"""
+FEED_SETTLED = f"""{POLLS}, {GROUPS.replace(BASE, FEED_BASE)},
+last AS (SELECT *, row_number() OVER (PARTITION BY lottery_type, CAST(ts AS DATE) ORDER BY ts DESC) AS rn FROM good),
+draws AS (SELECT lottery_type || '|' || CAST(CAST(ts AS DATE) AS VARCHAR) AS draw_date, special, nums AS drawn, {zodiac_of('special')} AS draw_zodiac,
+  list_transform(nums, lambda n: {zodiac_of('n')}) AS drawn_zodiacs FROM last WHERE rn = 1), {settled_from('groups')}"""
+
 SQL = {
+    "feed_settle": f"""
+WITH {FEED_SETTLED}, {PER_MODE} SELECT k AS slip_id, split_part(draw_date, '|', 1) AS lottery_type, split_part(draw_date, '|', 2) AS date, {SUMMED},
+  CAST(sum(winner_count) AS BIGINT) AS winner_count FROM per_mode GROUP BY 1, 2, 3""",
     "draw_feed_parse": f"""
 WITH {POLLS} SELECT lottery_type, fetch_error AS error, CASE WHEN fetch_error = '' THEN issue END AS issue, count(*) AS polls
 FROM feed GROUP BY 1, 2, 3""",

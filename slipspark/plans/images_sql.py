@@ -5,6 +5,7 @@ from __future__ import annotations
 from slipspark import dims
 from slipspark.functions.text import PY_LINE_BREAK, PY_WS
 from slipspark.operators.ocr_text import BARE_AMOUNT, CONTENT, CUT_AMOUNT, CUT_NUMBER, TWO_DIGITS, WAITS_AMOUNT
+from slipspark.plans.bets_sql import DRAWS
 from slipspark.plans.lines_sql import BASE
 from slipspark.sources import fixtures as fx
 
@@ -106,6 +107,11 @@ CONTINUES = (
 LINE_STATE = "{'h': %s, 'line': %s, 'out': %s}"
 
 SQL = {
+    "table_settle": f"""
+WITH {ALL_CELLS}, {DRAWS}
+SELECT m.k AS slip_id, CAST(sum(v) AS DOUBLE) AS total_bet_amount, CAST(coalesce(sum(47 * v) FILTER (number = special), 0) AS DOUBLE) AS total_win_amount,
+  count(*) AS entry_count, count(DISTINCT v) AS group_count, count(*) FILTER (number = special) AS winner_count
+FROM merged m JOIN base ON base.k = m.k LEFT JOIN draws USING (draw_date) GROUP BY m.k""",
     "ocr_box_source": f"""
 WITH {BASE}, {ITEMS} SELECT score, count(*) AS readings, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(i) AS BIGINT) AS seq_sum
 FROM items GROUP BY 1""",

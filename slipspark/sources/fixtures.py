@@ -267,6 +267,21 @@ def slips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Slips of several lotteries a day, on days that the feed covers.
+LOTTERIES = ["click", "error", "purchase", "signup", "view"]
+FEED_START, FEED_DAYS = "2024-01-01", 33
+
+
+def lottery_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide slips keyed by lottery and the feed's date text."""
+    keyed = slips(spark, sf_dir).drop("draw_date")
+    return keyed.selectExpr(
+        "*",
+        f"{SparkText.pick(LOTTERIES, 'slip_id % 5')} AS lottery_type",
+        f"cast(date_add(DATE '{FEED_START}', cast(slip_id % {FEED_DAYS} AS int)) AS string) AS date",
+    )
+
+
 def texts(spark: SparkSession, sf_dir: str, render) -> DataFrame:
     """(slip_id, text) of one kind, one per order."""
     return keyed_orders(spark, sf_dir).selectExpr("k AS slip_id", f"{render(SparkText)} AS text")

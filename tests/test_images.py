@@ -120,7 +120,9 @@ def test_merge_rules(spark):
     verify = spark.createDataFrame(
         [(1, 1, "50", 0.99), (1, 2, "6", 0.9), (1, 3, "6", 0.8), (1, 4, "60", 0.6), (1, 5, "7", 0.55), (1, 6, "70", 0.5)], ddl
     )
-    got = {r.number: (r.amount, r.confidence) for r in tb.merge_passes(fast, verify).collect()}
+    per_image = lambda rows: rows.groupBy("image_id").agg(F.collect_list(F.struct("number", "amount", "confidence")).alias("cells"))
+    merged = tb.merge_passes(per_image(fast), per_image(verify))
+    got = {r.number: (r.amount, r.confidence) for r in tb.cell_rows(merged).collect()}
     assert got == {1: ("5", 0.96), 2: ("6", 0.9), 3: ("5", 0.9), 4: ("60", 0.6), 5: ("7", 0.55), 6: ("5", 0.5)}
 
 
