@@ -79,6 +79,7 @@ ZODIAC_BETS = "(1 + k % 2)"
 NAME = "translate(cast(c as string), '0123456789', 'abcdefghij')"
 SLASH_FORM = "(k % 4)"  # 0 lines, 1 one line, 2 amount broken over lines, 3 blank lines between
 CN_FORM = "((k + c) % 3)"  # 0 lines, 1 one line, 2 amount on the next line
+CN_BETWEEN = "CASE WHEN g = 0 THEN '' WHEN k % 5 = 0 THEN '买' WHEN k % 10 = 1 THEN ' 下' ELSE '，' END"
 PER_NUMBER = ["一个号", "个号", "每个号", "每号", "各号", ""]
 AMOUNT_WORD = ["各下", "各押", "各买", "各", "下", "押", "买"]
 ZODIACS = list(dims.ZODIAC_ORDER)
@@ -121,7 +122,7 @@ def cn_text(t) -> str:
     lines = lambda body, sep: t.join(t.each(CN_GROUPS, "g", body), sep)
     return (
         f"CASE {CN_FORM} WHEN 0 THEN {lines(f'concat({NAME}, {_quoted('：')}, {numbers}, {words}, {a}, {tail})', NL)} "
-        f"WHEN 1 THEN {lines(f'concat({numbers}, {words}, {a}, {tail})', _quoted('，'))} "
+        f"WHEN 1 THEN {lines(f'concat({CN_BETWEEN}, {numbers}, {words}, {a}, {tail})', _quoted(''))} "
         f"ELSE {lines(f'concat({numbers}, {words}, {NL}, {a}, {_quoted('元')})', NL)} END"
     )
 
