@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,5 +31,16 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(c, F.lit("")).cast("binary")
 
 
+_MEMORY: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, forget: Callable[[], None]) -> None:
+    """Called where a task of ``owner`` begins. Spark hands its Python workers from one operator to the next; what the one
+    before remembered is dropped, so a worker never holds the memories of two."""
+    for other in [o for o in _MEMORY if o != owner]:
+        _MEMORY.pop(other)()
+    _MEMORY[owner] = forget
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,23 +15,29 @@ texts, equal rows stand side by side. An empty table gives an empty set. Columns
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from slipspark.llm.common import partitions, utf8
+from slipspark.llm.common import claim, partitions
 from slipspark.session import shared_dir
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 
-#: Bound of the runs that a worker remembers, and the length up to which it does.
-RUNS, LONG = 1_000_000, 64
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
+#: Half the bound of the runs that a worker remembers, and the length up to which it does.
+RUNS, LONG = 250_000, 64
+#: Bytes of text that are encoded together.
+PORTION = 2 << 20
 
 LAYOUT = {
     "parquet.block.size": str(16 << 20),
@@ -53,37 +59,92 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.runs: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the runs before, until as many new ones have come
 
     def _encode(self, runs: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[bytes], end: int | None) -> list[bytes]:
-        """Little-endian ids of each text."""
-        known = self.runs
-        # the tokenizer lower-cases, but for its special strings
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        made = {r: b"" for runs in split for r in runs if r not in known}
-        if len(known) + len(made) > RUNS:
-            known.clear()
-            made = {r: b"" for runs in split for r in runs}
-        # a comma or full stop behind a letter is a piece of its own
-        stems = {r: r[:-1] for r in made if r[-1:] in (b".", b",") and r[-2:-1].isalpha()}
-        fresh = [r for r in {*made.keys(), *stems.values(), b".", b","} if r not in stems and r not in known]
-        made.update(zip(fresh, self._encode(fresh)))
-        for run, stem in stems.items():
-            made[run] = (known.get(stem) or made[stem]) + (known.get(run[-1:]) or made[run[-1:]])
-        tail = b"" if end is None else np.array([end], "<u4").tobytes()
-        out = [b"".join([known.get(r) or made.get(r, b"") for r in runs]) + tail for runs in split]
+        """Ids of each run. Runs of letters are one piece each, whose last token carries the end-of-word mark, so many of
+        them are encoded in one call and parted there."""
+        texts = [r.decode() for r in runs]
+        words = [i for i, t in enumerate(texts) if t.lower().isalpha()]
+        made: dict[int, bytes] = {}
+        ids = np.array(self.library.encode(" ".join([texts[i] for i in words]), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1 if len(ids) else []
+        if len(ends) == len(words):
+            flat, cuts = ids.tobytes(), [0, *(4 * ends).tolist()] if len(words) else [0]
+            made = {i: flat[x:y] for i, x, y in zip(words, cuts, cuts[1:])}
+        rest = [i for i in range(len(runs)) if i not in made]
+        made.update((i, array("I", e.ids).tobytes()) for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)))
+        return [made[i] for i in range(len(runs))]
+
+    def _runs(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of distinct runs, from memory where known."""
+        known, older = self.runs, self.older
+        found = list(map(known.get, runs))
+        parts: dict[int, tuple[bytes, bytes]] = {}
+        wanted: set[bytes] = set()
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            run = runs[i]
+            if ids := older.get(run):
+                found[i] = known[run] = ids
+                continue
+            # marks behind a letter are a piece of their own: such runs are put together, not remembered
+            stem = run.rstrip(MARKS)
+            if len(stem) < len(run) and stem[-1:].isalpha() and b"<|" not in run:
+                parts[i] = stem, run[len(stem) :]
+                wanted.update(parts[i])
+            else:
+                parts[i] = run, b""
+                wanted.add(run)
+        fresh = [r for r in wanted if r not in known and r not in older]
+        made = dict(zip(fresh, self._encode(fresh)))
+        look = lambda r: made[r] if r in made else known[r] if r in known else older[r]
+        for i, (stem, tail) in parts.items():
+            found[i] = look(stem) + look(tail) if tail else look(stem)
         known.update((r, ids) for r, ids in made.items() if len(r) <= LONG)
-        return out
+        if len(known) >= RUNS:
+            self.older, self.runs = known, {}
+        return found
+
+    def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (an array of strings without nulls) in one row, and where each text begins and the last ends."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)  # as the tokenizer does, but for its special strings
+        # a comma or full stop between a letter and white space is a piece of its own, so words meet in fewer forms
+        texts = pc.replace_substring_regex(texts, r"([A-Za-z])([.,])([\t-\r ])", r"\1 \2\3")
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().cast(pa.binary()).dictionary_encode()
+        runs = self._runs(coded.dictionary.to_pylist())
+        words = coded.indices.to_numpy()
+        last = split.value_lengths().to_numpy().cumsum(dtype=np.int64)  # words before the end of each text
+        if end is not None:  # a word of its own behind each text
+            words = np.insert(words, last, len(runs))
+            runs.append(np.array([end], "<u4").tobytes())
+            last = last + np.arange(1, len(last) + 1)
+        sizes = np.fromiter(map(len, runs), np.int32, len(runs)) >> 2
+        bank = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.frombuffer(b"".join(runs), "<u4"))
+        taken = bank.take(pa.array(words))
+        return taken.flatten().to_numpy(), np.concatenate([[0], taken.offsets.to_numpy()[last]]).astype(np.int64)
+
+
+def portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(first, number) of neighbouring rows of about ``most`` bytes together."""
+    first = held = 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= most or i + 1 == len(sizes):
+            yield first, i + 1 - first
+            first, held = i + 1, 0
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    claim("tokens_out", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -109,7 +170,7 @@ def write_tokens(
     spark = docs.sparkSession
     keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(order or ["doc_id"])]
     names = [f"k{i}" for i in range(len(keys))]
-    rows = docs.select(*keys, F.col("doc_id"), utf8(text).alias("raw"))
+    rows = docs.select(*keys, F.col("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("raw"))
     # the text's hash behind the order: one id on many rows still spreads over partitions
     rows = rows.withColumn("tie", F.xxhash64("raw"))
     rows = rows.repartitionByRange(partitions(spark), *names, "tie").sortWithinPartitions(*names, "tie", "raw")
@@ -124,18 +185,15 @@ def write_tokens(
         own = encoder(vocabulary_file or vocabulary_path(vocabulary))
         start = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = own.encode(part.column("raw").to_pylist(), end_id)
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
-                starts = start + np.concatenate([[0], np.cumsum(counts)])
-                start = int(starts[-1])
-                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
+            for at, size in portions(pc.binary_length(batch.column("raw")).to_pylist(), PORTION):
+                part = batch.slice(at, size)
+                ids, starts = own.encode(part.column("raw"), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("part"), part.column("doc_id"), pa.array(starts[:-1]), pa.array(counts), lists],
+                    [part.column("part"), part.column("doc_id"), pa.array(start + starts[:-1]), pa.array(np.diff(starts)), lists],
                     names=["part", "doc_id", "local_start", "n_tokens", "ids"],
                 )
+                start += int(starts[-1])
 
     rows.mapInArrow(encode, schema).write.options(**LAYOUT).parquet(f"{path}/tokens")
     files = spark.read.schema(schema).parquet(f"{path}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
