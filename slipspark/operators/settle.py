@@ -79,7 +79,7 @@ def with_draw(slips: DataFrame, draws: DataFrame, key: str | Sequence[str] = "dr
 
 def _filled(slips: DataFrame) -> DataFrame:
     none = {"draw_zodiac": F.lit(""), "drawn": F.array().cast("array<int>"), "drawn_zodiacs": F.array().cast("array<string>")}
-    return slips.withColumns({name: F.coalesce(name, value) for name, value in none.items()})
+    return slips.withColumns({name: F.coalesce(name, value) for name, value in none.items() if name in slips.columns})
 
 
 def straight_hits(numbers: Column, special: Column) -> Column:

@@ -137,7 +137,7 @@ def test_join_texts(spark):
 
 
 def test_report_path_moves_no_slip(spark, tmp_path):
-    """From stored slips to reports, only the bounded draw table is exchanged, as a broadcast."""
+    """From stored slips to reports, only the bounded draw table is exchanged: to one draw per key, then as a broadcast."""
     spark.createDataFrame([(1, "d", "狗20", "", "")], "slip_id int, draw_date string, pingma string, lianma string, fushi string").write.parquet(
         str(tmp_path / "slips")
     )
@@ -148,5 +148,7 @@ def test_report_path_moves_no_slip(spark, tmp_path):
     drawn = st.with_draw(spark.read.parquet(str(tmp_path / "slips")), draws)
     rows = reports(sm.with_winners(ex.with_groups(drawn)))
     plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Python" not in plan
+    exchanged = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "BroadcastHashJoin" in plan and "Python" not in plan
+    assert len(exchanged) == 1 and plan.index("Exchange hashpartitioning") > plan.index("BroadcastExchange")
     assert rows.first().report.endswith("中 940")
