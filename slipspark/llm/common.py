@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,17 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(c, F.lit("")).cast("binary")
 
 
+#: Texts in a batch between Spark and Python: long ones come too, and a task holds a batch on either side.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Called before texts go to Python. A session that has chosen fewer rows keeps its choice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 _MEMORY: dict[str, Callable[[], None]] = {}
 
 
@@ -40,6 +52,7 @@ def claim(owner: str, forget: Callable[[], None]) -> None:
     for other in [o for o in _MEMORY if o != owner]:
         _MEMORY.pop(other)()
     _MEMORY[owner] = forget
+    pa.default_memory_pool().release_unused()
 
 
 def partitions(spark: SparkSession) -> int:

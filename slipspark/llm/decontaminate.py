@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slipspark.llm.common import utf8
+from slipspark.llm.common import claim, small_batches, utf8
 
 #: A-Z become a-z; every other ASCII byte that is neither a digit nor a letter becomes a blank.
 _NORMAL = bytes(
@@ -109,6 +109,7 @@ _BUILT: dict[str, tuple] = {}
 
 
 def _built(key: str, shared) -> tuple:
+    claim("decontaminate", _BUILT.clear)
     if key not in _BUILT:
         names, patterns, lengths = shared.value
         _BUILT.clear()
@@ -156,6 +157,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str =
     Columns of ``docs`` named like a result are replaced. Map-only: no row is shuffled. The benchmark is broadcast in
     blocks of about ``block_chars`` window characters; a larger one means more passes within the same stage.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     rows = docs.withColumn("__raw", utf8(text)).drop(*RESULT)
     final = rows.drop("__raw").schema

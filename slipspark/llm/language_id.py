@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slipspark.llm.common import utf8
+from slipspark.llm.common import claim, small_batches, utf8
 
 GRAM = 4
 #: Labelled documents per language in the fitting sample (expected number), and languages that are learned at most.
@@ -111,6 +111,7 @@ def build(languages: list[str], members: list[tuple[int, int]]) -> Filters:
 
 def fit(labelled: DataFrame, *, sample: int = SAMPLE, min_share: float = MIN_SHARE, text: str = "text", lang: str = "lang") -> Filters:
     """Filters from rows with text and a non-null language."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), utf8(text).alias("raw"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     languages = [r["lang"] for r in counts]
@@ -123,14 +124,21 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE, min_share: float = MIN_SHA
     number = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id", lambda: None)
+        docs = np.zeros(len(languages), np.int64)
+        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the partition so far
         for batch in batches:
-            lang_no = [number[x] for x in batch.column("lang").to_pylist()]
-            parts = [np.unique(grams(raw.as_py())).astype(np.int64) | n << 32 for n, raw in zip(lang_no, batch.column("raw"))]
-            seen, n = np.unique(np.concatenate(parts or [np.zeros(0, np.int64)]), return_counts=True)
-            docs = np.bincount(lang_no, minlength=len(languages)) if lang_no else np.zeros(len(languages), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([seen, -1 - np.arange(len(languages))])), pa.array(np.concatenate([n, docs]).astype(np.int64))], names=["key", "n"]
-            )
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lang_no = [number[x] for x in part.column("lang").to_pylist()]
+                docs += np.bincount(lang_no, minlength=len(languages))
+                grams_of = [np.unique(grams(raw.as_py())).astype(np.int64) | n << 32 for n, raw in zip(lang_no, part.column("raw"))]
+                fresh, times = np.unique(np.concatenate(grams_of), return_counts=True)
+                key, place = np.unique(np.concatenate([key, fresh]), return_inverse=True)
+                n = np.bincount(place, np.concatenate([n, times]), minlength=len(key)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([key, -1 - np.arange(len(languages))])), pa.array(np.concatenate([n, docs]))], names=["key", "n"]
+        )
 
     totals = rows.where(chosen).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     sampled = {-1 - r.key: r.n for r in totals.where("key < 0").collect()}
@@ -148,6 +156,7 @@ RESULT = ["lang_pred", "score", "contained"]
 
 def identify(docs: DataFrame, filters: Filters, *, text: str = "text") -> DataFrame:
     """Every row with ``lang_pred``, ``score`` and ``contained`` (share of the text's n-grams that the language has)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # at most LANGUAGES filters over the fitted n-grams
     rows = docs.withColumn("__raw", utf8(text)).drop(*RESULT)
     final = rows.drop("__raw").schema
@@ -155,6 +164,7 @@ def identify(docs: DataFrame, filters: Filters, *, text: str = "text") -> DataFr
         final = final.add(field)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id", lambda: None)
         own = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

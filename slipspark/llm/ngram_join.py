@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slipspark.llm.common import partitions, utf8, written
+from slipspark.llm.common import claim, partitions, small_batches, utf8, written
 
 WIDTH, PERCENT = 4, 85
 #: Lists up to this length give all their pairs.
@@ -54,7 +54,7 @@ _A = np.uint64(0x9E3779B97F4A7C15)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -147,6 +147,7 @@ class Index:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text its class and size; per shingle that different texts of a batch share, how many do."""
+    claim("ngram_join", _HASHES.clear)
     names = ["doc_id", "row", "n", "k1", "k2", "token", "count"]
     for batch in batches:
         n, keys, fresh, seen = [], [], [], set()
@@ -163,8 +164,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], names=names
         )
-        token, count = np.unique(np.concatenate([*fresh, np.zeros(0, np.int64)]), return_counts=True)
-        token, count = token[count > 1], count[count > 1].astype(np.int64)
+        token = np.concatenate([*fresh, np.zeros(0, np.int64)])
+        del fresh
+        token.sort()
+        token, count = np.unique(token[np.flatnonzero(np.concatenate([token[1:] == token[:-1], [False]]))], return_counts=True)
+        count = (count + 1).astype(np.int64)
         size = len(token)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(size, batch.schema.field("doc_id").type), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array(token), pa.array(count)], names=names
@@ -175,6 +179,7 @@ def _short_lists(shared) -> Callable:
     """Entries (token, class, n) of the short lists of every text that can link with a different one."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram_join", _HASHES.clear)
         often, counts = shared.value
         for batch in batches:
             tokens, owners, sizes, seen = [], [], [], set()
@@ -275,6 +280,7 @@ def _filter_of(nodes: DataFrame) -> np.ndarray:
 
 def _sets_of(shared) -> Callable:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram_join", _HASHES.clear)
         bits = shared.value
         for batch in batches:
             cell = batch.column("cell").to_numpy()
@@ -314,6 +320,7 @@ def _search_block(group: pd.DataFrame) -> pd.DataFrame:
 def classes(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, labels): per row its doc_id, text hash, number of shingles and class; per class that links, its component."""
     spark = docs.sparkSession
+    small_batches(spark)
     sc = spark.sparkContext
     source = docs.select("doc_id", utf8(text).alias("raw")).withColumn("row", F.xxhash64("raw"))
     id_type = docs.schema["doc_id"].dataType.simpleString()

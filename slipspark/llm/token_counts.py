@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slipspark.llm.common import utf8
+from slipspark.llm.common import claim, utf8
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -212,6 +212,7 @@ _COUNTERS: dict[str, PrefixCounter] = {}
 
 
 def counter(path: str) -> PrefixCounter:
+    claim("token_counts", _COUNTERS.clear)
     if path not in _COUNTERS:
         _COUNTERS[path] = PrefixCounter(path)
     return _COUNTERS[path]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from slipspark.llm.common import claim, partitions
+from slipspark.llm.common import claim, partitions, small_batches
 from slipspark.session import shared_dir
 
 VOCABULARY = "word_bpe_49k.json"
@@ -168,6 +168,7 @@ def write_tokens(
 ) -> None:
     """Encode ``docs`` and write them below ``path`` in the order of ``doc_id`` (or of the ``order`` columns)."""
     spark = docs.sparkSession
+    small_batches(spark)
     keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(order or ["doc_id"])]
     names = [f"k{i}" for i in range(len(keys))]
     rows = docs.select(*keys, F.col("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("raw"))
