@@ -193,6 +193,57 @@ def test_mixture_keeps_rows_and_shares(spark, weights):
                 assert abs(done[s] - target[s] * (slot + 1)) < 1 + 1e-9
 
 
+def deviation(blocks, weights, sizes):
+    """The most by which (slot, stream) of blocks, in order, differ from the weights while a stream has blocks."""
+    done, most = dict.fromkeys(weights, 0), 0
+    for slot, stream in sorted(blocks):
+        for s in (stream, *weights):
+            if done[s] < sizes[s]:
+                most = max(most, abs(done[s] - weights[s] * slot))
+        done[stream] += 1
+    return most
+
+
+def test_mixture_keeps_to_the_weights_asked_for(spark):
+    """A weight between two thousandths, over many ranges."""
+    docs = sources(spark, {"a": 100, "b": 39900})
+    placed = mixing.schedule(docs, weights={"a": 0.0025, "b": 0.9975}, slots=1000, block_rows=1)
+    got = placed.select("slot", "doc.source", "target").collect()
+    assert {(r.source, r.target) for r in got} == {("a", 0.0025), ("b", 0.9975)}
+    assert deviation([(r.slot, r.source) for r in got], {"a": 0.0025, "b": 0.9975}, {"a": 100, "b": 39900}) < 1 + 1e-6
+    assert len({r.slot for r in got}) == 40000
+
+
+def test_every_source_is_a_stream(spark):
+    """More sources than a period has places for; ranges don't show in the result."""
+    sizes = {f"s{i:03}": 3 + i % 5 for i in range(700)} | {"big": 3000}
+    docs = sources(spark, sizes)
+    got = mixing.schedule(docs, slots=300, block_rows=1).select("slot", "doc.source", "target", "doc.doc_id").collect()
+    weights = {r.source: r.target for r in got}
+    assert len(weights) == 701 and len({r.slot for r in got}) == len(got) == sum(sizes.values())
+    assert all(abs(weights[s] / weights["big"] - (n / 3000) ** 0.5) < 1e-9 for s, n in sizes.items())
+    assert deviation([(r.slot, r.source) for r in got], weights, sizes) < 1 + 1e-6
+    assert sorted(got) == sorted(mixing.schedule(docs, slots=10**6, block_rows=1).select("slot", "doc.source", "target", "doc.doc_id").collect())
+    weighted = mixing.schedule(docs, weights=weights, block_rows=1).select("slot", "doc.source", "doc.doc_id").collect()
+    assert sorted(weighted) == sorted((r.slot, r.source, r.doc_id) for r in got)
+
+
+def test_ranges_hand_over_what_waits():
+    rng = random.Random(12)
+    for n in (1, 2, 7, 60):
+        weights = [rng.random() ** 4 + 1e-6 for _ in range(n)]
+        made = mixing.Sources(mixing.parts_of(weights, mixing.PARTS), [rng.randint(0, 40) for _ in range(n)])
+        last = 10**12
+        whole, left = mixing.walk([], made.released(0, last), 0, last)
+        assert not left and all(made.parts[s] * slot < (j + 1) * mixing.PARTS and j * mixing.PARTS < made.parts[s] * (slot + 1) for slot, _, s, j in whole)
+        cuts = sorted({0, last, *rng.sample(range(1, 200), 30), *rng.sample(range(200, 20000), 20)})
+        pending, got = np.zeros(n, bool), []
+        for start, end in zip(cuts, cuts[1:]):
+            got += mixing.walk(made.waiting(pending, start), made.released(start, end), start, end)[0]
+            pending = made.hand_over(pending, start, end, *made.alone(start, end))
+        assert got == whole
+
+
 def test_mixture_odd_rows(odd, none):
     kept = mixing.mixed(odd)
     assert kept.columns == odd.columns
