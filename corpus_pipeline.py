@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from slipspark.llm import decontaminate, language_id, mixing, ngram_join, tokens_out
 from slipspark.llm.common import table, written
 
+#: Near duplicates: words of a shingle, and the least Jaccard similarity in hundredths. op6 has those of its contract.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; operator 10."""
@@ -21,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that n-gram Jaccard links join; operator 6."""
-    return ngram_join.distinct_documents(docs)
+    return ngram_join.distinct_documents(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

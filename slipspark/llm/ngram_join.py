@@ -1,7 +1,7 @@
 """N-gram Jaccard join by T-occurrence search over inverted lists of shingles.
 
-A text is the set of its distinct 4-word shingles. Two texts link when their sets have a Jaccard similarity of 0.85 or more.
-A text of n shingles links only with texts that share at least T = ceil(0.85 n) of them. In the manner of DivideSkip the
+A text is the set of its distinct shingles of ``width`` words. Two texts link when their sets have a Jaccard similarity of
+``percent`` / 100 or more. A text of n shingles links only with texts that share at least T = ceil(n percent / 100) of them. In the manner of DivideSkip the
 T - k most frequent lists of a text are set aside as long ones, and its other n - T + k lists, the short ones, are merged:
 who occurs in fewer than k of them can't reach T. Only who does is probed for in the long lists, by binary search in sorted
 sets, until the overlap is reached or out of reach.
@@ -21,7 +21,7 @@ How this runs on Spark:
 * Components contract: every node hooks to its smallest neighbour, and edges are rewritten, until none is left.
 
 Defined results: a null or empty text, or one of white space only, has no shingle, links with nothing and is its own
-component. Fewer than four words are one shingle, the whole sequence. Repeated rows are rows of one class. A row without id
+component. Fewer than ``width`` words are one shingle, the whole sequence. Repeated rows are rows of one class. A row without id
 takes the smallest id of its component, null if there is none. Rows that share an id are rows of their own. An empty table
 gives an empty result. Other columns are carried along by ``distinct_documents``.
 """
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from slipspark.llm.common import claim, partitions, small_batches, utf8, written
 
+#: The contract of op6. The pipeline passes its own.
 WIDTH, PERCENT = 4, 85
 #: Lists up to this length give all their pairs.
 SHORT_LIST = 64
@@ -63,34 +64,34 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
-def shingles(raw: bytes) -> np.ndarray:
+def shingles(raw: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text."""
     words = raw.lower().split()
-    if len(words) < WIDTH:
+    if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(b"\n" + b" ".join(words))] if words else [], np.uint64).view(np.int64)
     w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    h = w[:-3].copy()
-    for k in range(1, WIDTH):
+    h = w[: len(w) - width + 1].copy()
+    for k in range(1, width):
         h *= _A
-        h += w[k : len(w) - WIDTH + 1 + k]
+        h += w[k : len(w) - width + 1 + k]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     return np.unique(h.view(np.int64))
 
 
-def required(n: int) -> int:
+def required(n: int, percent: int = PERCENT) -> int:
     """Shingles that a text of n must share with any that it links with."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
-def short_hits(n: int) -> int:
+def short_hits(n: int, percent: int = PERCENT) -> int:
     """k: short lists of a text of n in which a partner must occur."""
-    return max(1, min(4, required(n)))
+    return max(1, min(4, required(n, percent)))
 
 
-def linked(common: int, a: int, b: int) -> bool:
-    return 100 * common >= PERCENT * (a + b - common)
+def linked(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
+    return 100 * common >= percent * (a + b - common)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -107,7 +108,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 class Index:
     """Inverted lists of a block of sets."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        self.percent = percent
         self.sizes = np.array([len(s) for s in sets])
         flat = np.concatenate([*sets, np.zeros(0, np.int64)])
         owner = np.repeat(np.arange(len(sets)), self.sizes)
@@ -120,7 +122,7 @@ class Index:
     def search(self, query: np.ndarray) -> list[int]:
         """Numbers of the sets that link with the query, by DivideSkip."""
         n = len(query)
-        least = required(n)
+        least = required(n, self.percent)
         if not len(self.keys) or not n:
             return []
         at = np.searchsorted(self.keys, query)
@@ -129,7 +131,7 @@ class Index:
         if len(at) < least:
             return []
         at = at[np.argsort(self.ends[at] - self.starts[at], kind="stable")]
-        long = max(0, min(least - short_hits(n), len(at)))
+        long = max(0, min(least - short_hits(n, self.percent), len(at)))
         split = len(at) - long
         merged = [self.owner[self.starts[i] : self.ends[i]] for i in at[:split]]
         counts = np.bincount(np.concatenate(merged) if merged else np.zeros(0, int), minlength=len(self.sizes))
@@ -142,40 +144,43 @@ class Index:
             place[place == len(own)] = 0
             counts[found] += own[place] == found
             found = found[counts[found] + (long - done - 1) >= least]
-        return [int(c) for c in found if linked(int(counts[c]), n, int(self.sizes[c]))]
+        return [int(c) for c in found if linked(int(counts[c]), n, int(self.sizes[c]), self.percent)]
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text its class and size; per shingle that different texts of a batch share, how many do."""
-    claim("ngram_join", _HASHES.clear)
-    names = ["doc_id", "row", "n", "k1", "k2", "token", "count"]
-    for batch in batches:
-        n, keys, fresh, seen = [], [], [], set()
-        for raw in batch.column("raw"):
-            s = shingles(raw.as_py())
-            key = xxhash.xxh3_128_digest(s.tobytes())
-            n.append(len(s))
-            keys.append(key)
-            if key not in seen:
-                seen.add(key)
-                fresh.append(s)
-        pair = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        size = batch.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], names=names
-        )
-        token = np.concatenate([*fresh, np.zeros(0, np.int64)])
-        del fresh
-        token.sort()
-        token, count = np.unique(token[np.flatnonzero(np.concatenate([token[1:] == token[:-1], [False]]))], return_counts=True)
-        count = (count + 1).astype(np.int64)
-        size = len(token)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(size, batch.schema.field("doc_id").type), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array(token), pa.array(count)], names=names
-        )
-
-
-def _short_lists(shared) -> Callable:
+def _features(width: int) -> Callable:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per text its class and size; per shingle that different texts of a batch share, how many do."""
+        claim("ngram_join", _HASHES.clear)
+        names = ["doc_id", "row", "n", "k1", "k2", "token", "count"]
+        for batch in batches:
+            n, keys, fresh, seen = [], [], [], set()
+            for raw in batch.column("raw"):
+                s = shingles(raw.as_py(), width)
+                key = xxhash.xxh3_128_digest(s.tobytes())
+                n.append(len(s))
+                keys.append(key)
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(s)
+            pair = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+            size = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], names=names
+            )
+            token = np.concatenate([*fresh, np.zeros(0, np.int64)])
+            del fresh
+            token.sort()
+            token, count = np.unique(token[np.flatnonzero(np.concatenate([token[1:] == token[:-1], [False]]))], return_counts=True)
+            count = (count + 1).astype(np.int64)
+            size = len(token)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(size, batch.schema.field("doc_id").type), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array(token), pa.array(count)], names=names
+            )
+
+    return features
+
+
+def _short_lists(shared, width: int, percent: int) -> Callable:
     """Entries (token, class, n) of the short lists of every text that can link with a different one."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +189,10 @@ def _short_lists(shared) -> Callable:
         for batch in batches:
             tokens, owners, sizes, seen = [], [], [], set()
             for raw in batch.column("raw"):
-                s = shingles(raw.as_py())
+                s = shingles(raw.as_py(), width)
                 n = len(s)
-                short = n - required(n) + short_hits(n)
-                if 100 * n < PERCENT * (n + 1):  # so small that any other set is too far
+                short = n - required(n, percent) + short_hits(n, percent)
+                if 100 * n < percent * (n + 1):  # so small that any other set is too far
                     continue
                 key = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0])
                 if key in seen:
@@ -236,13 +241,13 @@ def _shared_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield out([held[0]], [held[1]], [held[2]])
 
 
-def _in_reach(a: str, b: str):
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def _in_reach(a: str, b: str, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _hits(n: str):
+def _hits(n: str, percent: int):
     """short_hits in columns."""
-    return F.greatest(F.lit(1), F.least(F.lit(4), F.ceil(F.col(n) * PERCENT / 100)))
+    return F.greatest(F.lit(1), F.least(F.lit(4), F.ceil(F.col(n) * percent / 100)))
 
 
 def components(edges: DataFrame, purpose: str) -> DataFrame:
@@ -278,7 +283,7 @@ def _filter_of(nodes: DataFrame) -> np.ndarray:
     return made
 
 
-def _sets_of(shared) -> Callable:
+def _sets_of(shared, width: int) -> Callable:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("ngram_join", _HASHES.clear)
         bits = shared.value
@@ -286,45 +291,51 @@ def _sets_of(shared) -> Callable:
             cell = batch.column("cell").to_numpy()
             wanted = np.flatnonzero((bits[cell >> 5] >> (cell & 31).astype(np.uint32)) & 1)
             for at in range(0, len(wanted), 256):
-                made = [shingles(raw.as_py()) for raw in batch.column("raw").take(pa.array(wanted[at : at + 256]))]
+                made = [shingles(raw.as_py(), width) for raw in batch.column("raw").take(pa.array(wanted[at : at + 256]))]
                 key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in made), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array([s.tobytes() for s in made], pa.binary())], names=["k1", "members"])
 
     return sets
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column("sa"), batch.column("sb")):
-            x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
-            good.append(linked(overlap(x, y), len(x), len(y)))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def _search_block(group: pd.DataFrame) -> pd.DataFrame:
-    """Links of the block's queries with its targets: one per query and component, which joins them as well as all would."""
-    targets, queries = group[~group["is_query"]], group[group["is_query"]]
-    index = Index([np.frombuffer(s, np.int64) for s in targets["members"]])
-    keys, labels = targets["k1"].to_numpy(), targets["label"].to_numpy()
-    links = []
-    for key, label, members in zip(queries["k1"], queries["label"], queries["members"]):
-        reached = {label}
-        for i in index.search(np.frombuffer(members, np.int64)):
-            if labels[i] not in reached:
-                reached.add(labels[i])
-                links.append((key, keys[i]))
-    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-
-def classes(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def _verified(percent: int) -> Callable:
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
+                good.append(linked(overlap(x, y), len(x), len(y), percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return verified
+
+
+def _search_block(percent: int) -> Callable:
+    def search_block(group: pd.DataFrame) -> pd.DataFrame:
+        """Links of the block's queries with its targets: one per query and component, which joins them as well as all would."""
+        targets, queries = group[~group["is_query"]], group[group["is_query"]]
+        index = Index([np.frombuffer(s, np.int64) for s in targets["members"]], percent)
+        keys, labels = targets["k1"].to_numpy(), targets["label"].to_numpy()
+        links = []
+        for key, label, members in zip(queries["k1"], queries["label"], queries["members"]):
+            reached = {label}
+            for i in index.search(np.frombuffer(members, np.int64)):
+                if labels[i] not in reached:
+                    reached.add(labels[i])
+                    links.append((key, keys[i]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return search_block
+
+
+def classes(docs: DataFrame, *, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): per row its doc_id, text hash, number of shingles and class; per class that links, its component."""
     spark = docs.sparkSession
     small_batches(spark)
     sc = spark.sparkContext
     source = docs.select("doc_id", utf8(text).alias("raw")).withColumn("row", F.xxhash64("raw"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = written(source.mapInArrow(_features, f"doc_id {id_type}, row long, n int, k1 long, k2 long, token long, count long"), "join-features")
+    found = written(source.mapInArrow(_features(width), f"doc_id {id_type}, row long, n int, k1 long, k2 long, token long, count long"), "join-features")
     rows = found.where("n is not null").select("doc_id", "row", "n", "k1", "k2")
 
     often = found.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(f"count >= {OFTEN}")
@@ -333,21 +344,21 @@ def classes(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, DataFram
     by_token = np.argsort(token)
     order = sc.broadcast((token[by_token], count[by_token].astype(np.int32)))
 
-    entries = written(source.select("raw").mapInArrow(_short_lists(order), "token long, k1 long, n int"), "join-entries")
+    entries = written(source.select("raw").mapInArrow(_short_lists(order, width, percent), "token long, k1 long, n int"), "join-entries")
     ranged = entries.repartitionByRange(partitions(spark), "token", "k1").sortWithinPartitions("token", "k1")
     lists = written(ranged.mapInArrow(_shared_entries, "token long, k1 long, n int"), "join-lists")
     sizes = written(lists.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("k1", "n")).alias("low"), F.max(F.struct("k1", "n")).alias("high")).where("size > 1"), "join-sizes")
 
     short = lists.join(sizes.where(f"size <= {SHORT_LIST}").select("token"), "token")
     left, right = (short.select("token", F.col("k1").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-    pairs = left.join(right, "token").where("a < b").where(_in_reach("na", "nb"))
+    pairs = left.join(right, "token").where("a < b").where(_in_reach("na", "nb", percent))
     # a pair may also meet in longer lists, where it isn't counted: then the short ones alone don't decide
     long = lists.join(sizes.where(f"size > {SHORT_LIST}"), "token")
     in_long = long.groupBy("k1").agg(F.count("*").alias("m"))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("hits"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     counted = counted.join(in_long.select(F.col("k1").alias("a"), F.col("m").alias("ma")), "a", "left").join(in_long.select(F.col("k1").alias("b"), F.col("m").alias("mb")), "b", "left")
-    reach = F.col("hits") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))) >= F.least(_hits("na"), _hits("nb"))
-    pivots = long.select("k1", "n", F.explode(F.array("low", "high")).alias("p")).where("k1 <> p.k1").where(_in_reach("n", "p.n"))
+    reach = F.col("hits") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))) >= F.least(_hits("na", percent), _hits("nb", percent))
+    pivots = long.select("k1", "n", F.explode(F.array("low", "high")).alias("p")).where("k1 <> p.k1").where(_in_reach("n", "p.n", percent))
     pivots = pivots.select(F.least("k1", "p.k1").alias("a"), F.greatest("k1", "p.k1").alias("b"))
     candidates = written(counted.where(reach).select("a", "b").unionAll(pivots).distinct(), "join-candidates")
 
@@ -355,20 +366,20 @@ def classes(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, DataFram
     chosen = rows.join(nodes, "k1", "left_semi").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("k1", "r.doc_id", "r.row")
     wanted = sc.broadcast(_filter_of(chosen))
     texts = source.select("raw", F.pmod(F.xxhash64("doc_id", "row"), F.lit(FILTER_BITS)).alias("cell"))
-    sets = written(texts.mapInArrow(_sets_of(wanted), "k1 long, members binary").join(nodes, "k1", "left_semi").dropDuplicates(["k1"]), "join-sets")
+    sets = written(texts.mapInArrow(_sets_of(wanted, width), "k1 long, members binary").join(nodes, "k1", "left_semi").dropDuplicates(["k1"]), "join-sets")
 
     with_a = candidates.join(sets.select(F.col("k1").alias("a"), F.col("members").alias("sa")), "a")
     with_both = with_a.join(sets.select(F.col("k1").alias("b"), F.col("members").alias("sb")), "b")
-    links = written(with_both.mapInArrow(_verified, "a long, b long"), "join-links")
+    links = written(with_both.mapInArrow(_verified(percent), "a long, b long"), "join-links")
     labels = components(links, "join")
 
-    more = _search_long(long.select("token", "k1"), sets, labels)
+    more = _search_long(long.select("token", "k1"), sets, labels, percent)
     if more is not None:
         labels = components(links.unionAll(more), "join-all")
     return rows, labels
 
 
-def _search_long(long: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame | None:
+def _search_long(long: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
     """Links that pivots left open in long lists; None if every such list lies within one component."""
     known = labels.select(F.col("node").alias("k1"), "label")
     members = long.join(known, "k1", "left").withColumn("label", F.coalesce("label", "k1"))
@@ -388,16 +399,16 @@ def _search_long(long: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFra
     turn = F.pmod(F.xxhash64("k1", F.lit(1)), F.col("askers"))
     targets = rows.select("area", "k1", "label", "members", F.lit(False).alias("is_query"), place.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("askers") - 1)).alias("turn"))
     queries = rows.where("outside").select("area", "k1", "label", "members", F.lit(True).alias("is_query"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), turn.alias("turn"))
-    return written(targets.unionByName(queries).groupBy("area", "block", "turn").applyInPandas(_search_block, "a long, b long"), "join-more")
+    return written(targets.unionByName(queries).groupBy("area", "block", "turn").applyInPandas(_search_block(percent), "a long, b long"), "join-more")
 
 
-def join(docs: DataFrame, *, text: str = "text") -> DataFrame:
+def join(docs: DataFrame, *, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, row, n_shingles, class_size, component_id, component) for every row of ``docs``.
 
     ``row`` is a hash of the text; ``component`` tells components apart even where ids are missing or repeated (null
     for texts without shingles).
     """
-    rows, labels = classes(docs, text=text)
+    rows, labels = classes(docs, text=text, width=width, percent=percent)
     ids = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
     ids = ids.join(labels.withColumnRenamed("node", "k1"), "k1", "left").withColumn("component", F.coalesce("label", "k1"))
     ids = written(ids.select("k1", "k2", "least", "class_size", "component"), "join-classes")
@@ -409,12 +420,12 @@ def join(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return linked_rows.unionByName(empty)
 
 
-def distinct_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:
+def distinct_documents(docs: DataFrame, *, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one with the smallest id (then text hash), columns unchanged.
 
     Texts without shingles all stay. Rows equal in id and text are one document.
     """
-    joined = written(join(docs, text=text).select("doc_id", "row", "component"), "join-rows")
+    joined = written(join(docs, text=text, width=width, percent=percent).select("doc_id", "row", "component"), "join-rows")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     stay = joined.where("component is not null").groupBy("component").agg(F.min(first).alias("first")).select("first.doc_id", "first.row")
     stay = stay.unionAll(joined.where("component is null").select("doc_id", "row")).toDF("__id", "__hash").distinct()

@@ -34,7 +34,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
     return joined.select("doc_id", "n_shingles", "component_id")
 
 

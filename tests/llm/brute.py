@@ -97,29 +97,29 @@ def token_counts(docs):
     return [(doc, len((text or "").encode()), n := len(encode(text)), n > 1024) for doc, text in docs]
 
 
-def shingles(text):
+def shingles(text, width=4):
     w = PLAIN.findall(low(text or ""))
-    return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
-def join(docs):
+def join(docs, width=4, percent=85):
     """(doc_id, n_shingles, component_id), every pair of different sets compared."""
     sets = {}
     for doc, text in docs:
-        sets.setdefault(frozenset(shingles(text)), []).append(doc)
+        sets.setdefault(frozenset(shingles(text, width)), []).append(doc)
     keys = [k for k in sets if k]
     label = {k: i for i, k in enumerate(keys)}
     for i, a in enumerate(keys):
         for b in keys[:i]:
             c = len(a & b)
-            if 100 * c >= 85 * len(a | b) and label[a] != label[b]:
+            if 100 * c >= percent * len(a | b) and label[a] != label[b]:
                 old, new = label[a], label[b]
                 label = {k: new if v == old else v for k, v in label.items()}
     least = {}
     for k in keys:
         ids = [d for d in sets[k] if d is not None]
         least.setdefault(label[k], []).extend(ids)
-    return [(doc, len(s), min(least[label[s]], default=None) if s else doc) for doc, text in docs for s in [frozenset(shingles(text))]]
+    return [(doc, len(s), min(least[label[s]], default=None) if s else doc) for doc, text in docs for s in [frozenset(shingles(text, width))]]
 
 
 def quality(docs):
