@@ -5,9 +5,9 @@ the cells of an n-gram's hash positions and and-ing them gives every language th
 text, the bits are counted per language, the share of hits that the filter's fill would give by chance is taken out, and the
 language that contains most of the text wins.
 
-An n-gram belongs to a language if at least ``min_share`` of its sampled documents (two at least, if there are as many as
-two) hold it. The filters are fitted on a sample of about ``sample`` labelled documents per language, drawn by hash; counts
-of languages and predictions cover all rows.
+An n-gram belongs to a language if at least ``min_share`` of its sampled texts (two at least, if there are as many as two)
+hold it. The filters are fitted on a sample of about ``sample`` different labelled texts per language, drawn by hash; copies
+of a text and empty texts add nothing. Counts of languages and predictions cover all rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. Without labelled rows everything is ``und``.
 Ties go to the language with more labelled documents, then to the smaller name. Repeated rows get the same answer; other
@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 from slipspark.llm.common import claim, small_batches, utf8
 
 GRAM = 4
-#: Labelled documents per language in the fitting sample (expected number), and languages that are learned at most.
+#: Different labelled texts per language in the fitting sample (expected number), and languages that are learned at most.
 SAMPLE, LANGUAGES = 1500, 256
 MIN_SHARE = 0.01
+#: Steps in which a sample's share is held.
+DRAWS = 1 << 40
 HASHES = 2
 UND = "und"
 
@@ -117,10 +119,12 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE, min_share: float = MIN_SHA
     languages = [r["lang"] for r in counts]
     if not languages:
         return build([], [])
-    chosen = F.lit(False)
-    for r in counts:
-        share = min(1.0, sample / r["count"])
-        chosen |= (F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("raw", "lang"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    # copies share a hash, so texts are counted and drawn by it before any text is moved
+    hashed = rows.where(F.length("raw") > 0).withColumn("h", F.xxhash64("raw", "lang"))
+    texts = {r["lang"]: r["n"] for r in hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    shares = [(name, int(min(1.0, sample / texts[name]) * DRAWS)) for name in languages if name in texts]
+    drawn = labelled.sparkSession.createDataFrame(shares, "lang string, below long")
+    chosen = hashed.join(F.broadcast(drawn), "lang").where(F.pmod("h", F.lit(DRAWS)) < F.col("below")).select("lang", "raw").distinct()
     number = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +144,7 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE, min_share: float = MIN_SHA
             [pa.array(np.concatenate([key, -1 - np.arange(len(languages))])), pa.array(np.concatenate([n, docs]))], names=["key", "n"]
         )
 
-    totals = rows.where(chosen).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    totals = chosen.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     sampled = {-1 - r.key: r.n for r in totals.where("key < 0").collect()}
     enough = F.lit(False)
     for i in range(len(languages)):
