@@ -16,6 +16,7 @@ columns are carried along, those named like a result are replaced. Language, sou
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,8 @@ from pyspark.sql import types as T
 from slipspark.llm.common import claim, small_batches, utf8
 
 GRAM = 4
-#: Different labelled texts per language in the fitting sample (expected number), and languages that are learned at most.
+#: Different labelled texts per language in the fitting sample (expected number). Up to so many languages, filters are sized by
+#: all n-grams; beyond, by those of the largest language, so that the table grows in proportion to the languages.
 SAMPLE, LANGUAGES = 1500, 256
 MIN_SHARE = 0.01
 #: Steps in which a sample's share is held.
@@ -97,7 +99,9 @@ class Filters:
 
 def build(languages: list[str], members: list[tuple[int, int]]) -> Filters:
     """Filters from (n-gram, number of a language that contains it)."""
-    cells = 1 << max(12, (16 * len({g for g, _ in members})).bit_length())
+    many = len(languages) > LANGUAGES
+    held = max(Counter(l for _, l in members).values(), default=0) if many else len({g for g, _ in members})
+    cells = 1 << max(12, (16 * held).bit_length())
     kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(languages) <= np.dtype(k).itemsize * 8), np.uint64)
     width = np.dtype(kind).itemsize * 8
     made = Filters(languages, np.zeros((max(1, -(-len(languages) // width)), cells), kind), np.zeros(len(languages)))
@@ -115,7 +119,7 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE, min_share: float = MIN_SHA
     """Filters from rows with text and a non-null language."""
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), utf8(text).alias("raw"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in counts]
     if not languages:
         return build([], [])
@@ -146,12 +150,10 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE, min_share: float = MIN_SHA
 
     totals = chosen.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     sampled = {-1 - r.key: r.n for r in totals.where("key < 0").collect()}
-    enough = F.lit(False)
-    for i in range(len(languages)):
-        least = max(min(2, sampled.get(i, 0)), int(np.ceil(min_share * sampled.get(i, 0))))
-        enough |= (F.shiftright("key", 32) == i) & (F.col("n") >= least)
+    least = [(i, max(min(2, sampled.get(i, 0)), int(np.ceil(min_share * sampled.get(i, 0))))) for i in range(len(languages))]
+    least = labelled.sparkSession.createDataFrame(least, "number long, least long")
     # a document adds each of its n-grams once, so at most 1 / min_share times the mean number per document pass
-    kept = totals.where("key >= 0").where(enough).select("key").toPandas()["key"].to_numpy(np.int64)
+    kept = totals.where("key >= 0").withColumn("number", F.shiftright("key", 32)).join(F.broadcast(least), "number").where("n >= least").select("key").toPandas()["key"].to_numpy(np.int64)
     return build(languages, list(zip((kept & 0xFFFFFFFF).tolist(), (kept >> 32).tolist())))
 
 
@@ -161,7 +163,7 @@ RESULT = ["lang_pred", "score", "contained"]
 def identify(docs: DataFrame, filters: Filters, *, text: str = "text") -> DataFrame:
     """Every row with ``lang_pred``, ``score`` and ``contained`` (share of the text's n-grams that the language has)."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # at most LANGUAGES filters over the fitted n-grams
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # a bit per language and cell over the fitted n-grams
     rows = docs.withColumn("__raw", utf8(text)).drop(*RESULT)
     final = rows.drop("__raw").schema
     for field in T.StructType.fromDDL("lang_pred string, score double, contained double").fields:
