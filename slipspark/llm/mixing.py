@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
+"""Mixing sources to target weights by Pfair scheduling, with DataFrame functions; slot ranges are walked in Python.
 
 Documents of a source are dealt into blocks. Block ``j`` of a source of weight ``w`` may be placed from slot floor(j / w) on
 and has to be before ceil((j + 1) / w); at every slot the released block with the earliest deadline goes next. Then at any
