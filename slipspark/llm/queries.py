@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipspark.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality, token_counts, tokens_out, tool_calls
+from slipspark.llm import collocations, decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality, token_counts, tokens_out, tool_calls
 from slipspark.llm.common import table
 from slipspark.llm.queries_sql import SQL as SQL
 
@@ -58,6 +58,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
     "op2_decontamination": op2_decontamination,
@@ -69,4 +73,5 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_collocations": op11_collocations,
 }

@@ -55,5 +55,35 @@ marked AS (SELECT keyed.*, owner IS NOT NULL AND owner <> doc_id AS gone FROM ke
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op11_collocations": rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents),
+p AS (SELECT doc, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+grams AS (
+  SELECT lang, unnest([list_slice(w, i, i), CASE WHEN i + 1 <= len(w) THEN list_slice(w, i, i + 1) END, CASE WHEN i + 2 <= len(w) THEN list_slice(w, i, i + 2) END]) AS g
+  FROM spots
+),
+f AS (SELECT lang, g, len(g) AS k, count(*) AS f FROM grams WHERE g IS NOT NULL GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.g, c.k, c.f AS a, x.k AS cut, x.f AS l, y.f AS r,
+    CAST(c.f AS HUGEINT) * c.f * 1000000 // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.k < c.k AND x.g = list_slice(c.g, 1, x.k)
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - x.k AND y.g = list_slice(c.g, x.k + 1, c.k)
+),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inside AS (
+  SELECT DISTINCT s.lang, s.g FROM c s JOIN c b ON b.lang = s.lang AND s.k = 2 AND b.k = 3
+    AND (list_slice(b.g, 1, 2) = s.g OR list_slice(b.g, 2, 3) = s.g) AND 100 * b.f >= 50 * s.f
+),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank
+  FROM best ANTI JOIN inside USING (lang, g)
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """,
 }
