@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipspark.llm import collocations, decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality, token_counts, tokens_out, tool_calls
+from slipspark.llm import collocations, cross_polytope, decontaminate, hard_negatives, language_id, line_dedup, mixing, ngram_join, pii, quality, token_counts, tokens_out, tool_calls
 from slipspark.llm.common import table
 from slipspark.llm.queries_sql import SQL as SQL
 
@@ -62,6 +62,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return cross_polytope.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.prepared(vectors, label, F.col("vec_id") % 100 == 0))
+
+
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
     "op2_decontamination": op2_decontamination,
@@ -74,4 +85,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
     "op11_collocations": op11_collocations,
+    "op12_nearest": op12_nearest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
