@@ -53,13 +53,18 @@ def draw_inputs(draws: DataFrame, key: str | Sequence[str] = "draw_date", order:
 
     A zodiac missing from the feed comes from the number. Of several draws of a key the last synced one counts.
     """
-    draws = one_per_key(with_extras(draws), key)
+    return draw_values(one_per_key(with_extras(draws), key), keys_of(key), order)
+
+
+def draw_values(draws: DataFrame, keep: Sequence[str], order: str = dims.ZODIAC_ORDER) -> DataFrame:
+    """What settlement reads of each draw row, beside the columns ``keep``; row by row, so streams have it too."""
+    draws = with_extras(draws)
     special_zodiac = F.coalesce(nullif_blank(F.get("zodiacs", F.lit(6))), number_zodiac(F.col("special"), order))
     return (
         draws.withColumn("draw_zodiac", special_zodiac)
         .withColumn("drawn", drawn_set(F.col("special"), F.col("numbers")))
         .withColumn("drawn_zodiacs", drawn_zodiacs(F.col("draw_zodiac"), F.col("drawn"), order))
-        .select(*keys_of(key), "special", "draw_zodiac", "drawn", "drawn_zodiacs")
+        .select(*keep, "special", "draw_zodiac", "drawn", "drawn_zodiacs")
     )
 
 
@@ -71,13 +76,14 @@ def with_draw(slips: DataFrame, draws: DataFrame, key: str | Sequence[str] = "dr
     """
     keys = keys_of(key)
     if draws.limit(max_rows + 1).count() <= max_rows:
-        return _filled(slips.join(F.broadcast(draws), keys, "left"))
+        return filled(slips.join(F.broadcast(draws), keys, "left"))
     salted = draws.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = slips.withColumn("salt", F.pmod(F.xxhash64("slip_id"), F.lit(SALTS)).cast("int"))
-    return _filled(spread.join(salted, [*keys, "salt"], "left").drop("salt"))
+    return filled(spread.join(salted, [*keys, "salt"], "left").drop("salt"))
 
 
-def _filled(slips: DataFrame) -> DataFrame:
+def filled(slips: DataFrame) -> DataFrame:
+    """Nothing drawn where no draw was joined."""
     none = {"draw_zodiac": F.lit(""), "drawn": F.array().cast("array<int>"), "drawn_zodiacs": F.array().cast("array<string>")}
     return slips.withColumns({name: F.coalesce(name, value) for name, value in none.items() if name in slips.columns})
 

@@ -15,7 +15,8 @@ from slipspark.session import shared_dir
 from slipspark.sources import fixtures as fx
 from slipspark.sources.feeds import with_first_item
 from slipspark.streaming import admission as admission_stream
-from slipspark.streaming import draw_sync, resettle
+from slipspark.streaming import arriving, draw_sync, late, resettle
+from slipspark.streaming.ordered_admission import admit_ordered, rocks_state
 
 # Three days and five requests: the limits bind on this log, the defaults never would.
 WINDOW_US = 3 * 24 * 3600 * 1_000_000
@@ -148,6 +149,45 @@ def admission_streamed(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{out}/decided").select("client", "request_id", "admitted")
 
 
+def _settle_met(slips: DataFrame) -> DataFrame:
+    return sm.all_mode_summaries(sm.with_winners(ex.with_groups(slips)), ("slip_id", "draw_date", "synced_at"))
+
+
+def resettle_join_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Slips that arrive before and after their draws, both as streams; slips that never meet a draw included."""
+    out = shared_dir(spark, "arriving")
+    orders = _stream(spark, sf, "orders")
+    slips = fx.slips_from(fx.keyed_from(orders), fx.ARRIVED)
+    dated = orders.selectExpr("cast(o_orderdate AS date) AS draw_date").selectExpr("draw_date", fx.SYNCED)
+    draws = fx.draws_of(dated.withWatermark("synced_at", "3650 days").dropDuplicates(["draw_date", "synced_at"]), "synced_at")
+    arriving.arrive(slips, "arrived_at", "1 day", f"{out}/slips").awaitTermination()
+    arriving.arrive(draws, "synced_at", "1 day", f"{out}/draws").awaitTermination()
+    ins = (spark, f"{out}/slips", f"{out}/draws")
+    arriving.settle_arriving(*ins, slips.schema, draws.schema, _settle_met, f"{out}/met", "1 day", "4 days").awaitTermination()
+    return shown(arriving.results(*ins, _settle_met, f"{out}/met", "4 days"), "slip_id", *SUMMARY, "winner_count")
+
+
+def admission_late_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as a stream whose requests may be an hour late; one request from the future ends it and releases the last ones."""
+    out = shared_dir(spark, "ordered-admission")
+    requests = _stream(spark, sf, "events").selectExpr(*fx.REQUEST)
+    schema = requests.schema
+    late.split_late(requests, "ts", "1 hour", f"{out}/log").awaitTermination()
+    end = fx.requests(spark, sf).agg((F.max("ts") + F.expr("INTERVAL 3650 DAYS")).alias("ts"))
+    end = end.select(F.lit(None).cast(schema["client"].dataType).alias("client"), "ts", F.lit(None).cast(schema["request_id"].dataType).alias("request_id"))
+    end.limit(0).write.parquet(f"{out}/end")
+    both = late.on_time_stream(spark, f"{out}/log", schema).unionByName(spark.readStream.schema(schema).parquet(f"{out}/end"))
+    decided = admit_ordered(both, "1 hour", MAX_REQUESTS, WINDOW_US)
+    writer = decided.writeStream.format("parquet").option("path", f"{out}/decided").option("checkpointLocation", f"{out}/checkpoint")
+    for last in (False, True):
+        if last:
+            end.write.mode("append").parquet(f"{out}/end")
+        with rocks_state(spark):
+            query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.parquet(f"{out}/decided").where("request_id IS NOT NULL").select("client", "request_id", "admitted")
+
+
 QUERIES = {
     "draw_feed_parse": draw_feed_parse,
     "draw_normalize": draw_normalize,
@@ -161,4 +201,6 @@ QUERIES = {
     "trailing_requests": trailing_requests,
     "admission": admission,
     "admission_stream": admission_streamed,
+    "resettle_join_stream": resettle_join_stream,
+    "admission_late_stream": admission_late_stream,
 }

@@ -69,4 +69,6 @@ WITH {ASKED} SELECT client, event_id AS request_id, count(*) OVER (PARTITION BY
   RANGE BETWEEN 259199999999 PRECEDING AND CURRENT ROW) AS trailing FROM asked""",
     "admission": ADMISSION,
     "admission_stream": ADMISSION,
+    "resettle_join_stream": BETS["summary_all"],
+    "admission_late_stream": ADMISSION,
 }

@@ -240,9 +240,12 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+def keyed_from(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr("o_orderkey AS k", "o_custkey AS c", "cast(o_orderdate AS date) AS draw_date")
+
+
 def keyed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    return spread(orders.selectExpr("o_orderkey AS k", "o_custkey AS c", "cast(o_orderdate AS date) AS draw_date"))
+    return spread(keyed_from(table(spark, sf_dir, "orders")))
 
 
 # Some slips lack a text, some days a draw; some images come without scores or blank cells, some requests without client.
@@ -258,10 +261,15 @@ def present(mode: str, text: str) -> str:
 
 def slips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide slips, one per order."""
+    return slips_from(keyed_orders(spark, sf_dir))
+
+
+def slips_from(keyed: DataFrame, *more: str) -> DataFrame:
     t = SparkText
-    return keyed_orders(spark, sf_dir).selectExpr(
+    return keyed.selectExpr(
         "k AS slip_id",
         "draw_date",
+        *more,
         f"{present('pingma', pingma_text(t))} AS pingma",
         f"{present('lianma', listed_text(t))} AS lianma",
         f"{present('fushi', fushi_text(t))} AS fushi",
@@ -307,17 +315,27 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def draws_from(orders: DataFrame) -> DataFrame:
+    return draws_of(orders.selectExpr("cast(o_orderdate AS date) AS draw_date").distinct())
+
+
+def draws_of(dated: DataFrame, *more: str) -> DataFrame:
+    """A draw for each date."""
     t = SparkText
-    dated = orders.selectExpr("cast(o_orderdate AS date) AS draw_date").distinct()
     day = dated.withColumn("d", F.datediff("draw_date", F.lit("1995-01-01").cast("date"))).where(f"NOT {UNDRAWN}")
     return day.selectExpr(
         "draw_date",
+        *more,
         f"cast({t.each('7', 'i', draw_number('i'))} AS array<int>) AS numbers",
         f"cast({draw_number('6')} AS int) AS special",
         f"CASE WHEN d % 3 = 0 THEN array('') ELSE {t.each('7', 'i', t.pick(ZODIACS, f'({draw_number("i")} - 1) % 12'))} END AS zodiacs",
     )
 
 
+# Slips come up to two and a half days before or after noon of their day, the draw in the evening.
+ARRIVED = "cast(draw_date AS timestamp) + (k % 5 - 2) * INTERVAL 1 DAY + (k % 24) * INTERVAL 1 HOUR AS arrived_at"
+SYNCED = "cast(draw_date AS timestamp) + INTERVAL '21:30' HOUR TO MINUTE AS synced_at"
+
+
 # Polls: one per event. Issues change by day; some polls bring six numbers, an error code, or broken JSON.
 FEED_DAY = "day(cast(ts AS date))"
 
