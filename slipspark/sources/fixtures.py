@@ -424,6 +424,28 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Chat images: one per order, batches by customer; a line of the mixed text is a box, and the engine reads some images from the end.
+CHAT_BATCH_DAY = "date_add(DATE '1995-01-01', cast(c % 700 AS int))"
+SILENT = "k % 11 = 5"
+
+
+def chat_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """batch_id, seq, image_id, boxes, txts, scores; images of nothing but chatter among them."""
+    t = SparkText
+    parts = [mixed_listed_text(t), "'收到，谢谢'", mixed_pool_text(t), mixed_pingma_text(t)]
+    text = f"CASE WHEN {SILENT} THEN '收到，谢谢' ELSE concat({f', {NL}, '.join(parts)}) END"
+    lines = keyed_orders(spark, sf_dir).selectExpr("k", "c", f"split({text}, {NL}) AS lines")
+    corner = lambda x, dy: f"array(cast({x} AS double), cast(20 + 40 * i + {dy} AS double))"
+    box = f"transform(lines, (l, i) -> array({corner(50, -8)}, {corner(400, -8)}, {corner(400, 8)}, {corner(50, 8)}))"
+    turned = lambda items: f"CASE WHEN k % 2 = 0 THEN {items} ELSE reverse({items}) END"
+    return lines.selectExpr("c AS batch_id", "k AS seq", "k AS image_id", f"{turned(box)} AS boxes", f"{turned('lines')} AS txts", "cast(NULL AS array<double>) AS scores")
+
+
+def batch_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws of the days on which batches are settled."""
+    return draws_of(keyed_orders(spark, sf_dir).selectExpr(f"{CHAT_BATCH_DAY} AS draw_date").distinct())
+
+
 def reading_number(i: str) -> str:
     return f"((k * 5 + {i} * {i} * 7 + c) % 49 + 1)"
 
