@@ -1,7 +1,8 @@
 """Phrase collocation mining by external stream estimation: counts are sorted streams, joined by walking them in lockstep.
 
-One pass over the texts counts words, pairs and triples; blocks of text are counted in the task before anything is shuffled.
-What reaches the least count is kept as a stream of counts. A stream in *prefix* order has a phrase's continuations right
+One pass over the texts counts words, pairs and triples. A block of text is counted at once, and its counts leave the task as compressed
+runs, one for each slot that phrases are dealt to; who receives a slot sums its runs, one slot after another. What
+reaches the least count is kept as a stream of counts. A stream in *prefix* order has a phrase's continuations right
 behind the phrase, one in *suffix* order has what ends in a phrase right behind it. Two streams are merged by one walk that
 carries the last shorter phrase forward (left and right counts) and looks one row ahead (the greatest extension, as the longer
 ones come by falling count). Nothing is looked up in a hash table.
@@ -17,9 +18,12 @@ it has different neighbours. A run is streamed, never held.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -27,8 +31,8 @@ from pyspark.sql import functions as F
 
 from slipspark.llm.common import partitions, small_batches, utf8, written
 
-#: Bytes of text counted at once, and rows in a batch that leaves a task.
-BLOCK_BYTES, OUT_ROWS = 8_000_000, 50_000
+#: Bytes of text counted at once, phrases written out together, and slots that a partition of counts is summed in.
+BLOCK_BYTES, WRITE_ROWS, SLOTS = 8_000_000, 500_000, 4
 #: Language of documents that have none.
 NO_LANGUAGE = "und"
 
@@ -53,40 +57,90 @@ def _tokens(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
     return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(flat)]), piece
 
 
-def _counted(lang: str, texts: pa.Array, least_words: int, most_words: int) -> Iterator[pa.RecordBatch]:
-    """Counts of all phrases of 1 to ``most_words`` words; the empty phrase counts all words."""
-    tokens, piece = _tokens(texts)
+@dataclass
+class _Counts:
+    """Counted phrases of one language in a block: a word number from each of ``parts`` for each phrase."""
+
+    lang: str
+    names: pa.Array
+    parts: list[np.ndarray]
+    hashes: np.ndarray
+    counts: np.ndarray
 
-    def rows(phrases: pa.Array, words: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(phrases), OUT_ROWS):
-            part = phrases.slice(i, OUT_ROWS)
-            n = len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.repeat(lang, n), part, pa.repeat(pa.scalar(words, pa.int32()), n), pa.array(counts[i : i + n], pa.int64())],
-                ["lang", "phrase", "words", "n"],
-            )
+    def keys(self, rows: np.ndarray) -> pa.Array:
+        """Language and phrase; a phrase holds no line break."""
+        words = [self.names.take(pa.array(p[rows])) for p in self.parts]
+        phrases = pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0]
+        return pc.binary_join_element_wise(pa.scalar(self.lang), phrases, "\n")
 
+
+def _counted(lang: str, texts: pa.Array, most_words: int) -> Iterator[_Counts]:
+    """Counts of all phrases of 1 to ``most_words`` words; the empty phrase counts all words."""
+    tokens, piece = _tokens(texts)
     if not len(tokens):
         return
-    yield from rows(pa.array([""]), 0, np.array([len(tokens)]))
+    own = np.uint64(zlib.crc32(lang.encode()))
+    yield _Counts(lang, pa.array([""]), [np.zeros(1, np.int32)], np.array([own]), np.array([len(tokens)]))
     coded = tokens.dictionary_encode()
     ids, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    yield from rows(names, 1, np.bincount(ids, minlength=len(names)))
+    words = pd.util.hash_array(np.array(names.to_pylist(), object), categorize=False) ^ own
     # a phrase of k words is a number for its first k-1 words, and its last word; both are below 2^31
-    begun, where, parts = ids, np.arange(len(ids)), [np.arange(len(names))]
+    begun, where, parts, hashes = ids, np.arange(len(ids)), [np.arange(len(names), dtype=np.int32)], words
+    yield _Counts(lang, names, parts, hashes, np.bincount(ids, minlength=len(names)))
     for k in range(2, most_words + 1):
         fits = (where + k - 1 < len(ids)) & (piece[np.minimum(where + k - 1, len(ids) - 1)] == piece[where])
         where, begun = where[fits], begun[fits]
         if not len(where):
             return
         keys, begun, counts = np.unique(begun * len(names) + ids[where + k - 1], return_inverse=True, return_counts=True)
-        parts = [p[keys // len(names)] for p in parts] + [keys % len(names)]
-        yield from rows(pc.binary_join_element_wise(*(names.take(pa.array(p)) for p in parts), " "), k, counts)
+        first, last = (x.astype(np.int32) for x in (keys // len(names), keys % len(names)))
+        parts = [p[first] for p in parts] + [last]
+        hashes = hashes[first] * np.uint64(0x9E3779B97F4A7C15) + words[last]
+        yield _Counts(lang, names, parts, hashes, counts)
+
+
+_RUN = "slot int, n int, lengths binary, keys binary, counts binary"
+
+
+def _runs(counted: list[_Counts], slots: int) -> Iterator[pa.RecordBatch]:
+    """All counts of a block, a compressed run for each slot, or several of a very large block."""
+    dealt = [((c.hashes >> np.uint64(20)) % np.uint64(slots)).astype(np.int32) for c in counted]
+    sizes = np.bincount(np.concatenate(dealt), minlength=slots) if dealt else np.zeros(slots, np.int64)
+    orders = [np.argsort(d, kind="stable") for d in dealt]
+    ends = [np.searchsorted(d[o], np.arange(slots + 1)) for d, o in zip(dealt, orders)]
+    pressed = lambda raw: pa.compress(raw, codec="zstd", asbytes=True)
+    at = 0
+    while at < slots:  # so many slots at once that their keys fit an Arrow array
+        to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), WRITE_ROWS, "right")))
+        parts = [(c, o[e[at] : e[to]], d) for c, o, e, d in zip(counted, orders, ends, dealt)]
+        keys = pa.concat_arrays([c.keys(rows) for c, rows, _ in parts])
+        slot = np.concatenate([d[rows] for _, rows, d in parts])
+        order = np.argsort(slot, kind="stable")
+        keys, slot = keys.take(pa.array(order)), slot[order]
+        n = np.concatenate([c.counts[rows] for c, rows, _ in parts])[order].astype("<i8")
+        ends_of = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
+        data, lengths = memoryview(keys.buffers()[2] or b""), np.diff(ends_of).astype("<i4")
+        cuts = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot))
+        rows = [(slot[a], b - a, pressed(lengths[a:b].tobytes()), pressed(bytes(data[ends_of[a] : ends_of[b]])), pressed(n[a:b].tobytes())) for a, b in zip(cuts, cuts[1:])]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["slot", "n", "lengths", "keys", "counts"])
+        at = to
+
+
+def _opened(run: dict) -> pa.Table:
+    lengths = np.frombuffer(pa.decompress(run["lengths"], 4 * run["n"], codec="zstd"), "<i4")
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    data = pa.py_buffer(pa.decompress(run["keys"], int(ends[-1]), codec="zstd"))
+    counts = np.frombuffer(pa.decompress(run["counts"], 8 * run["n"], codec="zstd"), "<i8")
+    return pa.table({"key": pa.Array.from_buffers(pa.string(), run["n"], [None, pa.py_buffer(ends), data]), "f": counts})
 
 
 def phrase_counts(docs: DataFrame, most_words: int, least: int) -> DataFrame:
-    """lang, phrase, words, f of all phrases that occur ``least`` times or more; the empty phrase has the number of words."""
-    small_batches(docs.sparkSession)
+    """lang, phrase, f of all phrases that occur ``least`` times or more; the empty phrase has the number of words."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    slots = partitions(spark) * SLOTS
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(block: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +148,8 @@ def phrase_counts(docs: DataFrame, most_words: int, least: int) -> DataFrame:
             lang, text = table["lang"].combine_chunks(), table["text"].combine_chunks()
             codes = lang.dictionary_encode()
             which = codes.indices.to_numpy()
-            for code, name in enumerate(codes.dictionary.to_pylist()):
-                yield from _counted(name, text.take(pa.array(np.flatnonzero(which == code))), 1, most_words)
+            texts = [text.take(pa.array(np.flatnonzero(which == code))) for code in range(len(codes.dictionary))]
+            yield from _runs([c for name, own in zip(codes.dictionary.to_pylist(), texts) for c in _counted(name, own, most_words)], slots)
 
         block, size = [], 0
         for batch in batches:
@@ -107,9 +161,27 @@ def phrase_counts(docs: DataFrame, most_words: int, least: int) -> DataFrame:
         if block:
             yield from flush(block)
 
+    def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed(runs: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            f = pa.concat_tables(runs).combine_chunks().group_by("key", use_threads=False).aggregate([("f", "sum")])
+            f = f.filter(pc.greater_equal(f["f_sum"], least)).select(["key", "f_sum"]).rename_columns(["key", "f"])
+            yield from f.combine_chunks().to_batches(50_000)
+
+        slot, runs = None, []
+        for batch in batches:
+            for run in batch.to_pylist():
+                if run["slot"] != slot:
+                    if runs:
+                        yield from summed(runs)
+                    slot, runs = run["slot"], []
+                runs.append(_opened(run))
+        if runs:
+            yield from summed(runs)
+
     ended = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.concat(utf8("text"), F.lit("\n").cast("binary")).alias("text"))
-    counted = ended.mapInArrow(count, "lang string, phrase string, words int, n long")
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    runs = ended.mapInArrow(count, _RUN).repartition(partitions(spark), "slot").sortWithinPartitions("slot")
+    lang, phrase = F.regexp_extract("key", r"(?s)^(.*)\n", 1), F.substring_index("key", "\n", -1)
+    return runs.mapInArrow(total, "key string, f long").select(lang.alias("lang"), phrase.alias("phrase"), "f")
 
 
 def lockstep(heads: DataFrame, tails: DataFrame, keys: list[str], take: dict[str, str], longest: str) -> DataFrame:
@@ -164,6 +236,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000) -> DataFrame
     A phrase that half of the time or more is part of one longer candidate is left out."""
     counts = written(phrase_counts(docs, 3, least), "collocation-counts")
     word = F.split("phrase", " ")
+    counts = counts.withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(F.size(word)))
     counts = counts.withColumns({f"w{i + 1}": F.coalesce(F.get(word, F.lit(i)), F.lit("")) for i in range(3)})
     numbers = {c: F.lit(0).cast("long") for c in ("l1", "r1", "l2", "r2", "left_ext", "right_ext")}
     plain = counts.withColumns(numbers)

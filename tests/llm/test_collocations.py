@@ -38,9 +38,9 @@ def mined(frame, **limits):
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(collocations, "BLOCK_BYTES", 5_000)
-    monkeypatch.setattr(collocations, "OUT_ROWS", 100)
+    monkeypatch.setattr(collocations, "WRITE_ROWS", 100)
     texts = [("en" if i % 3 else "fr", prose(200, i % 7) + ". New York, new YORK city! a a a a\tb\x0bc d" + "\x00 x" * (i % 2)) for i in range(40)]
-    texts += [(None, "new york city"), (None, None), ("en", ""), ("de", " ,;. "), ("und", "new york city new york city")]
+    texts += [(None, "new york city"), (None, None), ("en", ""), ("de", " ,;. "), ("und", "new york city new york city"), ("a\nb", "new york city"), ("", "new york city")]
     frame = spark.createDataFrame([(i, t, lang, "s") for i, (lang, t) in enumerate(texts)], SCHEMA).repartition(3)
     for least, top in ((2, 50), (3, 100_000)):
         assert mined(frame, least=least, top=top) == brute(texts, least, top)
