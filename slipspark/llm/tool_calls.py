@@ -2,21 +2,26 @@
 
 Calls and results meet in a hash join on (conversation, call id). Both sides are reduced to one row per id before it, with
 combining aggregations, so repeated ids are small whatever their number. Calls name the calls they build on
-(``{"$ref": "<call id>"}`` anywhere in their arguments); the order is made in rounds over the whole table: each gives a
-level to all calls whose references have one. No conversation is gathered into one task, so one may hold any share of
-the rows; rounds are as many as the longest chain of references. Arguments are checked against a schema per tool, and every
+(``{"$ref": "<call id>"}`` anywhere in their arguments). References of one conversation, up to a bound, are ordered topologically in one
+pass over a sorted stream. A conversation of more references is ordered in rounds over the whole table, each of which gives a
+level to all calls whose references have one; so none is gathered into one task, and one may hold any share of the
+rows. Arguments are checked against a schema per tool, and every
 call, with its result, becomes one line of JSON: keys sorted by code point, no blanks, characters as they are.
 
 Defined results, in ``status`` and ``errors``: the first call of an id (by turn, then by its JSON) counts, others are
 ``duplicate``; so the first result, the number of all is kept. A call without id is ``no_id`` and links with nothing. A
 result without call is a row of its own, ``orphan``. A call without result is ``open``. Arguments that are null or no JSON
-object are errors, as is an unknown tool or reference. Calls in or behind a cycle of references are ``cycle`` and have level
+object are errors, as is an unknown tool or reference. Numbers that are no JSON (NaN, infinities) or too large for a double, lone
+surrogates, and values nested deeper than ``DEPTH`` are errors of that call, whose arguments then count as null. A whole number may
+be written 1.0. Schemas are checked before anything runs. Calls in or behind a cycle of references are ``cycle`` and have level
 -1. A result that stands before its call is taken, and ``early`` says so. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slipspark.llm.common import written
+from slipspark.llm.common import partitions, small_batches, written
+
+#: Nesting that arguments may have, and references in a conversation that are ordered in one pass.
+DEPTH, ONE_PASS = 100, 100_000
 
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
 
@@ -50,7 +58,8 @@ def violations(value: object, schema: dict, at: str = "$") -> list[str]:
     if isinstance(value, dict) and set(value) == {"$ref"}:
         return []
     kind = schema.get("type")
-    if kind and (not isinstance(value, TYPES[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
+    whole = kind == "integer" and isinstance(value, float) and value.is_integer()
+    if kind and not whole and (not isinstance(value, TYPES[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
         return [f"{at}: not of type {kind}"]
     found = []
     if "enum" in schema and value not in schema["enum"]:
@@ -73,15 +82,52 @@ def violations(value: object, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
+def _refuse(constant: str) -> None:
+    raise ValueError(constant)
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    return value if math.isfinite(value) else _refuse(text)
+
+
+def _depth(value: object) -> int:
+    """Levels of nesting, at most one more than ``DEPTH``; without recursion."""
+    level, here = 0, [value]
+    while here and level <= DEPTH:
+        level += 1
+        here = [v for x in here if isinstance(x, (dict, list)) for v in (x.values() if isinstance(x, dict) else x)]
+    return level
+
+
 def parsed(text: str | None) -> tuple[dict | None, str | None]:
     """(arguments, error)"""
     try:
-        value = json.loads(text) if text is not None else None
-    except (ValueError, RecursionError):
+        value = json.loads(text, parse_constant=_refuse, parse_float=_number) if text is not None else None
+        if _depth(value) > DEPTH:
+            return None, "$: nested too deep"
+        canonical(value).encode()
+    except UnicodeEncodeError:
+        return None, "$: not text"
+    except ValueError:
         return None, "$: no JSON"
+    except RecursionError:
+        return None, "$: nested too deep"
     return (value, None) if isinstance(value, dict) else (None, "$: no object")
 
 
+def check_schema(schema: dict, at: str = "$") -> None:
+    """ValueError where a schema says what ``violations`` doesn't know."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: a schema is an object, not {schema!r}")
+    if (kind := schema.get("type")) is not None and kind not in TYPES:
+        raise ValueError(f"{at}: unknown type {kind!r}")
+    for name, part in schema.get("properties", {}).items():
+        check_schema(part, f"{at}.{name}")
+    if "items" in schema:
+        check_schema(schema["items"], f"{at}[]")
+
+
 def _checked(schemas: dict[str, dict]):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,19 +150,62 @@ def _checked(schemas: dict[str, dict]):
     return check
 
 
+def topological(edges: list[tuple[str, str]]) -> dict[str, int]:
+    """Level of every call that needs another, from (call, needed) pairs; calls in or behind a cycle have none."""
+    open_needs, behind = Counter(), defaultdict(list)
+    for call, needed in set(edges):
+        open_needs[call] += 1
+        behind[needed].append(call)
+    level = dict.fromkeys((n for n in behind if n not in open_needs), 0)
+    ready = list(level)
+    for call in ready:  # grows while it is walked
+        for user in behind.get(call, ()):
+            level[user] = max(level.get(user, 0), level[call] + 1)
+            open_needs[user] -= 1
+            if not open_needs[user]:
+                ready.append(user)
+    done = set(ready)
+    return {c: level[c] for c in open_needs if c in done}
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of conversations that stand together, from (conv_id, call_id, needs)."""
+
+    def out(conv, edges: list[tuple[str, str]]) -> pa.RecordBatch:
+        found = topological(edges)
+        n = len(found)
+        return pa.RecordBatch.from_arrays([pa.array([conv.as_py()] * n, conv.type), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int32())], ["conv_id", "call_id", "level"])
+
+    conv, edges = None, []
+    for batch in batches:
+        calls, needs = batch.column("call_id").to_pylist(), batch.column("needs").to_pylist()
+        for of, call, needed in zip(batch.column("conv_id"), calls, needs):
+            if conv is not None and of != conv:
+                yield out(conv, edges)
+                edges = []
+            conv = of
+            edges.append((call, needed))
+    if conv is not None:
+        yield out(conv, edges)
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) from (conv_id, call_id, refs): 0 without references, else one above the highest of them.
 
     References to unknown calls don't count. Calls in or behind a cycle get no row.
     """
+    spark = calls.sparkSession
     ids = calls.select("conv_id", "call_id")
     edges = calls.select("conv_id", "call_id", F.explode_outer("refs").alias("needs")).where("needs is not null")
     edges = edges.join(ids.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"])
-    edges = written(edges, "tool-edges")
+    edges = written(edges, "tool-edges").select("conv_id", "call_id", "needs")
     waiting = edges.select("conv_id", "call_id").distinct()
-    done = written(ids.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "tool-levels")
-    level, fresh = 0, done
-    open_edges = edges
+    first = written(ids.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "tool-levels")
+    large = written(edges.groupBy("conv_id").count().where(F.col("count") > ONE_PASS).select("conv_id"), "tool-large")
+    together = edges.join(large, "conv_id", "left_anti").repartition(partitions(spark), "conv_id").sortWithinPartitions("conv_id")
+    done = first.unionAll(together.mapInArrow(_ordered, first.schema))
+    open_edges = edges.join(large, "conv_id", "left_semi")
+    level, fresh = 0, first.join(large, "conv_id", "left_semi")
     while not fresh.isEmpty():
         level += 1
         # an edge goes once the call it needs has a level; who has no edge left gets the next one
@@ -146,6 +235,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 
     ``calls`` (conv_id, turn, call_id, name, arguments) and ``results`` (conv_id, turn, call_id, content) are whole tables.
     """
+    for name, schema in schemas.items():
+        check_schema(schema, name)
+    small_batches(calls.sparkSession)
     sound = calls.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("call_id").cast("string").alias("call_id"), "name", "arguments")
     id_type = calls.schema["conv_id"].dataType.simpleString()
     checked = written(sound.mapInArrow(_checked(schemas), f"conv_id {id_type}, turn long, call_id string, name string, arguments string, refs array<string>, errors array<string>"), "tool-calls")
