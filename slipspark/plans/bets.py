@@ -155,6 +155,13 @@ def summary_draw(spark: SparkSession, sf: str) -> DataFrame:
     return shown(totals, "draw_date", "mode", *SUMMARY, "winner_count", "slips")
 
 
+def summary_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals per draw and mode, per draw, and over everything."""
+    per_mode = sm.mode_summaries(settled_slips(spark, sf), ("slip_id", "draw_date"))
+    totals = sm.rolled_up(per_mode).withColumn("draw_date", F.col("draw_date").cast("string"))
+    return shown(totals, "level", "draw_date", "mode", *SUMMARY, "winner_count", "slips")
+
+
 def status_text(spark: SparkSession, sf: str) -> DataFrame:
     # One extraction of the slips gives both the modes' and the slips' totals.
     modes = [F.struct(F.lit("settled").alias("kind"), F.lit(m).alias("mode"), sm.totals(F.col(f"groups_{m}"), F.col(f"winners_{m}")).alias("t")) for m in dims.MODES]
@@ -254,6 +261,7 @@ QUERIES = {
     "summary_all": summary_all,
     "summary_draft": summary_draft,
     "summary_draw": summary_draw,
+    "summary_rollup": summary_rollup,
     "status_text": status_text,
     "report_text": report_text,
     "recognition_counts": recognition_counts,

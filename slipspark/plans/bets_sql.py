@@ -329,6 +329,9 @@ WITH {GROUPS} SELECT k AS slip_id, coalesce(CAST(sum(units * amt) AS DOUBLE), 0)
     "summary_draw": f"""
 WITH {SETTLED}, {PER_MODE} SELECT CAST(draw_date AS VARCHAR) AS draw_date, mode, {SUMMED},
   CAST(sum(winner_count) AS BIGINT) AS winner_count, count(*) AS slips FROM per_mode GROUP BY 1, 2""",
+    "summary_rollup": f"""
+WITH {SETTLED}, {PER_MODE} SELECT CAST(grouping(draw_date, mode) AS INTEGER) AS level, CAST(draw_date AS VARCHAR) AS draw_date, mode, {SUMMED},
+  CAST(sum(winner_count) AS BIGINT) AS winner_count, count(DISTINCT k) AS slips FROM per_mode GROUP BY ROLLUP (draw_date, mode)""",
     "status_text": f"""
 WITH {SETTLED}, {PER_MODE}, said AS (
   SELECT 'settled' AS kind, mode, CASE WHEN group_count > 0 THEN {STATUS} WHEN mode = 'pingma' THEN '{EMPTY['pingma']}'
