@@ -15,7 +15,7 @@ from slipspark.session import shared_dir
 from slipspark.sources import fixtures as fx
 from slipspark.sources.feeds import with_first_item
 from slipspark.streaming import admission as admission_stream
-from slipspark.streaming import arriving, draw_sync, late, resettle
+from slipspark.streaming import arriving, draw_events, draw_sync, late, resettle
 from slipspark.streaming.ordered_admission import admit_ordered, rocks_state
 
 # Three days and five requests: the limits bind on this log, the defaults never would.
@@ -167,6 +167,27 @@ def resettle_join_stream(spark: SparkSession, sf: str) -> DataFrame:
     return shown(arriving.results(*ins, _settle_met, f"{out}/met", "4 days"), "slip_id", *SUMMARY, "winner_count")
 
 
+def draw_events_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """New issues and changes per lottery and issue, from the streamed feed; a poll from the future releases the last ones."""
+    out = shared_dir(spark, "draw-events")
+    polls = fx.feed_from(_stream(spark, sf, "events"))
+    end = fx.feed(spark, sf).groupBy().agg((F.max("ts") + F.expr("INTERVAL 3650 DAYS")).alias("ts"))
+    draw = '{"code":1,"data":[{"qishu":0,"date":"-","num":"1,2,3,4,5,6,7"}]}'  # a draw, as rejected polls don't move the watermark
+    end = end.select(F.lit(0).cast("bigint").alias("event_id"), F.lit("end").alias("lottery_type"), "ts", F.lit(draw).alias("payload"))
+    end.limit(0).write.parquet(f"{out}/end")
+    both = polls.unionByName(spark.readStream.schema(end.schema).parquet(f"{out}/end"))
+    events = draw_events.draw_events(dr.normalize(both), "1 hour", "event_id")
+    writer = events.writeStream.format("parquet").option("path", f"{out}/events").option("checkpointLocation", f"{out}/checkpoint")
+    for last in (False, True):
+        if last:
+            end.write.mode("append").parquet(f"{out}/end")
+        with rocks_state(spark):
+            query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+    counted = spark.read.parquet(f"{out}/events").where("lottery_type <> 'end'").groupBy("lottery_type", "issue")
+    return counted.agg(F.count_if("is_new_issue").alias("new_issues"), F.count_if("is_changed").alias("changes"), F.count("*").alias("polls"))
+
+
 def admission_late_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The log as a stream whose requests may be an hour late; one request from the future ends it and releases the last ones."""
     out = shared_dir(spark, "ordered-admission")
@@ -203,4 +224,5 @@ QUERIES = {
     "admission_stream": admission_streamed,
     "resettle_join_stream": resettle_join_stream,
     "admission_late_stream": admission_late_stream,
+    "draw_events_stream": draw_events_stream,
 }

@@ -60,6 +60,10 @@ SELECT event_id, lottery_type, issue FROM p WHERE before IS DISTINCT FROM issue"
 WITH {POLLS}, p AS (SELECT *, lag(nums) OVER (PARTITION BY lottery_type ORDER BY ts, event_id) AS before FROM good)
 SELECT lottery_type, issue, count(*) FILTER (before IS DISTINCT FROM nums) AS changes, CAST(0 AS BIGINT) AS mismatches, count(*) AS polls
 FROM p GROUP BY 1, 2""",
+    "draw_events_stream": f"""
+WITH {POLLS}, p AS (SELECT *, lag(nums) OVER w AS before, lag(issue) OVER w AS issue_before FROM good WINDOW w AS (PARTITION BY lottery_type ORDER BY ts, event_id))
+SELECT lottery_type, issue, count(*) FILTER (issue_before IS DISTINCT FROM issue) AS new_issues, count(*) FILTER (before IS DISTINCT FROM nums) AS changes,
+  count(*) AS polls FROM p GROUP BY 1, 2""",
     "draw_sync_status": f"""
 WITH {POLLS} SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_attempt_at, strftime(max(ts) FILTER ({GOOD}), '%Y-%m-%d %H:%M:%S.%f') AS last_success_at,
   count(*) AS attempts, count(*) FILTER ({GOOD}) AS successes, arg_max(error, ts) AS last_error FROM feed""",
