@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipspark.llm.common import claim, partitions, small_batches, utf8, written
@@ -43,8 +43,8 @@ from slipspark.llm.common import claim, partitions, small_batches, utf8, written
 WIDTH, PERCENT = 4, 85
 #: Lists up to this length give all their pairs.
 SHORT_LIST = 64
-#: Members of a block in the search within long lists.
-BLOCK = 128
+#: Bytes of sets in a block of the search within long lists, on either side.
+BLOCK_BYTES = 16_000_000
 #: Shingles whose counts are known to every task, the most frequent first, and the count from which they matter.
 ORDERED, OFTEN = 300_000, 16
 #: Cells of the filter that tells a scan which texts to return sets of; others that slip through do no harm.
@@ -110,7 +110,7 @@ class Index:
 
     def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
         self.percent = percent
-        self.sizes = np.array([len(s) for s in sets])
+        self.sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate([*sets, np.zeros(0, np.int64)])
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(flat, kind="stable")
@@ -373,32 +373,54 @@ def classes(docs: DataFrame, *, text: str = "text", width: int = WIDTH, percent:
     links = written(with_both.mapInArrow(_verified(percent), "a long, b long"), "join-links")
     labels = components(links, "join")
 
-    more = _search_long(long.select("token", "k1"), sets, labels, percent)
+    more = _search_long(long.select("token", "k1", "n"), sets, labels, percent)
     if more is not None:
         labels = components(links.unionAll(more), "join-all")
     return rows, labels
 
 
+def _spare(n: str, percent: int):
+    """How many of the long lists that two texts share can be passed over: all but one of the hits that a text of n needs with
+    the smallest text in its reach."""
+    least = F.ceil(F.ceil(F.col(n) * percent / 100) * percent / 100)
+    return F.greatest(F.lit(1), F.least(F.lit(4), least)) - 1
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Entries of lists that touch several components, with the size of the list and its first member."""
+    lists = members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("k1").alias("first"), F.count("*").alias("size"))
+    return members.join(lists.where("lo <> hi").select("token", "first", "size"), "token")
+
+
 def _search_long(long: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
-    """Links that pivots left open in long lists; None if every such list lies within one component."""
+    """Links that pivots left open in long lists (token, k1, n); None if every such list lies within one component.
+
+    A pair that meets in a short list has been counted. Any other one shares all the hits it needs, k, in lists of several
+    components. If each text passes over its k - 1 longest of these, lists taken in one order for all, the shortest list that the two
+    share is still among those of both. That cuts the ties between groups which only common passages hold together.
+    """
     known = labels.select(F.col("node").alias("k1"), "label")
     members = long.join(known, "k1", "left").withColumn("label", F.coalesce("label", "k1"))
-    mixed = members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("k1").alias("first")).where("lo <> hi").select("token", "first")
-    members = written(members.join(mixed, "token"), "join-mixed")
+    members = written(_mixed(members), "join-mixed")
     if members.isEmpty():
         return None
+    rank = F.row_number().over(Window.partitionBy("k1").orderBy(F.desc("size"), "token"))
+    needed = members.withColumn("rank", rank).where(F.col("rank") > _spare("n", percent)).select("token", "k1", "label")
+    members = written(_mixed(needed), "join-needed")
     # lists that share members are searched as one, so a text is compared with another once, not once per list
     areas = components(members.select(F.col("k1").alias("a"), F.col("first").alias("b")).distinct(), "join-areas")
     area = members.select("k1", "label").distinct().join(areas.select(F.col("node").alias("k1"), F.col("label").alias("area")), "k1")
-    area = written(area, "join-area")
-    share = area.groupBy("area", "label").agg(F.count("*").alias("m"))
+    area = written(area.join(sets, "k1").withColumn("bytes", F.length("members")), "join-area")
+    share = area.groupBy("area", "label").agg(F.sum("bytes").alias("m"))
     largest = share.groupBy("area").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("total"))
-    rows = area.join(largest, "area").select("area", "k1", "label", (F.col("label") != F.col("top.label")).alias("outside"), F.ceil(F.col("total") / BLOCK).alias("blocks"), F.ceil((F.col("total") - F.col("top.m")) / BLOCK).alias("askers"))
-    rows = rows.join(sets, "k1")
+    at_least_one = lambda size: F.greatest(F.lit(1).cast("long"), F.ceil(size / BLOCK_BYTES))
+    sized = largest.select("area", F.col("top.label").alias("top"), at_least_one(F.col("total")).alias("blocks"), at_least_one(F.col("total") - F.col("top.m")).alias("askers"))
+    rows = area.join(sized, "area").withColumn("outside", F.col("label") != F.col("top"))
     place = F.pmod(F.xxhash64("k1"), F.col("blocks"))
     turn = F.pmod(F.xxhash64("k1", F.lit(1)), F.col("askers"))
-    targets = rows.select("area", "k1", "label", "members", F.lit(False).alias("is_query"), place.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("askers") - 1)).alias("turn"))
-    queries = rows.where("outside").select("area", "k1", "label", "members", F.lit(True).alias("is_query"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), turn.alias("turn"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    targets = rows.select("area", "k1", "label", "members", F.lit(False).alias("is_query"), place.alias("block"), upto("askers").alias("turn"))
+    queries = rows.where("outside").select("area", "k1", "label", "members", F.lit(True).alias("is_query"), upto("blocks").alias("block"), turn.alias("turn"))
     return written(targets.unionByName(queries).groupBy("area", "block", "turn").applyInPandas(_search_block(percent), "a long, b long"), "join-more")
 
 

@@ -104,7 +104,7 @@ def test_divide_skip_finds_all_links():
 def test_join_of_large_groups(spark, monkeypatch, short_list):
     """Groups of near copies whose lists are long, short and mixed; pairs at the very threshold."""
     monkeypatch.setattr(ngram_join, "SHORT_LIST", short_list)
-    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 3000)
     rng = random.Random(6)
     passage = [f"p{i}" for i in range(40)]
     docs = []
@@ -127,7 +127,7 @@ def test_join_of_large_groups(spark, monkeypatch, short_list):
 def test_join_with_the_limits_of_the_pipeline(spark, monkeypatch, short_list):
     """Five words and 0.8: pairs on either side of it, and such that four words and 0.85 would not join."""
     monkeypatch.setattr(ngram_join, "SHORT_LIST", short_list)
-    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 3000)
     docs = []
     for group in range(12):
         base = [f"g{group}w{i}" for i in range(100)]
