@@ -15,7 +15,7 @@ from slipspark.session import shared_dir
 from slipspark.sources import fixtures as fx
 from slipspark.sources.feeds import with_first_item
 from slipspark.streaming import admission as admission_stream
-from slipspark.streaming import arriving, draw_events, draw_sync, late, resettle
+from slipspark.streaming import arriving, draw_events, draw_sync, late, progress, resettle
 from slipspark.streaming.ordered_admission import admit_ordered, rocks_state
 
 # Three days and five requests: the limits bind on this log, the defaults never would.
@@ -167,6 +167,34 @@ def resettle_join_stream(spark: SparkSession, sf: str) -> DataFrame:
     return shown(arriving.results(*ins, _settle_met, f"{out}/met", "4 days"), "slip_id", *SUMMARY, "winner_count")
 
 
+def _synced(spark: SparkSession, sf: str, files: int = 12) -> tuple[str, progress.Status]:
+    """The feed in ``files`` files by time, synced file by file into a store, and how that went."""
+    out = shared_dir(spark, "draw-store")
+    fx.feed(spark, sf).drop("event_id").repartitionByRange(files, "ts").write.parquet(f"{out}/feed")
+    schema = spark.read.parquet(f"{out}/feed").schema
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/feed")
+    listener = progress.SyncListener(out)
+    spark.streams.addListener(listener)
+    try:
+        draw_sync.sync_to_store(feed, out, out, interval=None).awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()  # the last batch has been reported
+    finally:
+        spark.streams.removeListener(listener)
+    return out, listener.status
+
+
+def draw_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest draws from the store's last version."""
+    out, _ = _synced(spark, sf)
+    return _draw_shown(draw_sync.draw_store(spark, out).read())
+
+
+def sync_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """The status that the query's own progress gives."""
+    _, status = _synced(spark, sf)
+    return progress.status_row(spark, status).select(_stamp("last_attempt_at"), _stamp("last_success_at"), "attempts", "successes", "last_error")
+
+
 def draw_events_stream(spark: SparkSession, sf: str) -> DataFrame:
     """New issues and changes per lottery and issue, from the streamed feed; a poll from the future releases the last ones."""
     out = shared_dir(spark, "draw-events")
@@ -225,4 +253,6 @@ QUERIES = {
     "resettle_join_stream": resettle_join_stream,
     "admission_late_stream": admission_late_stream,
     "draw_events_stream": draw_events_stream,
+    "draw_store": draw_store,
+    "sync_progress": sync_progress,
 }

@@ -53,6 +53,7 @@ WITH {POLLS} SELECT event_id, lottery_type, error, CASE WHEN {GOOD} THEN array_t
   CASE WHEN {GOOD} THEN {ELEMENT} END AS special_element, CASE WHEN {GOOD} THEN CAST(2024001 + d AS VARCHAR) END AS next_issue FROM feed""",
     "draw_latest": LATEST,
     "draw_sync_stream": LATEST,
+    "draw_store": LATEST,
     "draw_new_issue": f"""
 WITH {POLLS}, p AS (SELECT *, lag(issue) OVER (PARTITION BY lottery_type ORDER BY ts, event_id) AS before FROM good)
 SELECT event_id, lottery_type, issue FROM p WHERE before IS DISTINCT FROM issue""",
@@ -76,3 +77,4 @@ WITH {ASKED} SELECT client, event_id AS request_id, count(*) OVER (PARTITION BY
     "resettle_join_stream": BETS["summary_all"],
     "admission_late_stream": ADMISSION,
 }
+SQL["sync_progress"] = SQL["draw_sync_status"]

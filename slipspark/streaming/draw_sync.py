@@ -13,6 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 from slipspark import dims
 from slipspark.operators import draws as dr
 from slipspark.sources.sinks import read_batch, write_batch
+from slipspark.sources.store import Store
+from slipspark.streaming.progress import observed
 
 
 def _newest(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
@@ -36,6 +38,24 @@ def sync(feed: DataFrame, out: str, interval: str | None = dims.POLL_INTERVAL) -
     return paced.start()
 
 
+def sync_to_store(feed: DataFrame, out: str, name: str, interval: str | None = dims.POLL_INTERVAL) -> StreamingQuery:
+    """Start a sync whose newest draws are a versioned ``store`` and whose batches report to a ``progress.SyncListener`` of its name."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, f"{out}/polls", batch_id)
+        written = read_batch(batch.sparkSession, f"{out}/polls", batch_id)
+        draw_store(batch.sparkSession, out).commit(dr.accepted(written), batch_id)
+
+    writer = observed(dr.normalize(feed)).writeStream.foreachBatch(write).queryName(name).option("checkpointLocation", f"{out}/checkpoint")
+    paced = writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
+    return paced.start()
+
+
+def draw_store(spark: SparkSession, out: str) -> Store:
+    """The newest accepted draw per lottery."""
+    return Store(spark, f"{out}/store", ["lottery_type"], ["synced_at", "issue"])
+
+
 def polls(spark: SparkSession, out: str) -> DataFrame:
     """All polls, rejected ones with their error."""
     return spark.read.parquet(f"{out}/polls").drop("batch")
