@@ -106,6 +106,22 @@ CONTINUES = (
 )
 LINE_STATE = "{'h': %s, 'line': %s, 'out': %s}"
 
+def _layout(source: str) -> str:
+    own = {**L, **{key: value for of, key, value in fx.LAYOUT_OVERRIDES if of == source and key in L}}
+    return f"('{source}', " + ", ".join(f"{v}::DOUBLE" for v in own.values()) + ")"
+
+
+LAYOUT_CELLS = f"""
+layout(source, {', '.join(L)}) AS (VALUES {', '.join(_layout(s) for s in fx.IMAGE_SOURCES)}),
+frames AS (SELECT DISTINCT {fx.image_source('k')} AS source, {fx.IMAGE_WIDTH} AS width, {fx.IMAGE_HEIGHT} AS height FROM base),
+placed_cells AS (SELECT *, CASE WHEN g = 3 THEN number - 37 ELSE (number - 1) % 12 END AS r
+  FROM (SELECT *, least(3, (number - 1) // 12) AS g FROM frames, (SELECT unnest(range(1, 50)) AS number))),
+rects AS (SELECT source, width, height, number, width * tableX + g * (width * groupWidth) + width * numberColumnWidth + width * paddingX AS rx,
+  height * tableY + r * (height * rowHeight) + height * paddingY AS ry, width * groupWidth - width * numberColumnWidth - width * paddingX * sourceWidthPaddingMultiplier AS w,
+  height * rowHeight - height * paddingY * sourceHeightPaddingMultiplier AS h FROM placed_cells JOIN layout USING (source)),
+px AS (SELECT source, width, height, number, greatest(0, {rounded('rx')}) AS x1, greatest(0, {rounded('ry')}) AS y1, least(width, {rounded('rx + w')}) AS x2,
+  least(height, {rounded('ry + h')}) AS y2 FROM rects)"""
+
 SQL = {
     "table_settle": f"""
 WITH {ALL_CELLS}, {DRAWS}
@@ -135,6 +151,12 @@ WITH {BASE}, {CELLS} SELECT CAST(width AS BIGINT) AS width, CAST(height AS BIGIN
   round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM px""",
     "box_in_cell": f"""
 WITH {BASE}, {ITEMS}, {CELLS}, {INSIDE} SELECT k AS image_id, i AS seq, CAST(number AS BIGINT) AS number, CAST(v AS VARCHAR) AS amount FROM inside""",
+    "box_in_layout": f"""
+WITH {BASE}, {ITEMS}, {LAYOUT_CELLS},
+tagged AS (SELECT *, {fx.image_source('k')} AS source FROM items),
+held AS (SELECT t.k, t.i, t.source, min(number) AS number, any_value({amount('i')}) AS v FROM tagged t JOIN px USING (source, width, height)
+  WHERE x BETWEEN x1 - 6 AND x2 + 6 AND y BETWEEN y1 - 6 AND y2 + 6 GROUP BY ALL)
+SELECT k AS image_id, i AS seq, source, CAST(number AS BIGINT) AS number, CAST(v AS VARCHAR) AS amount FROM held WHERE v BETWEEN 1 AND 9999""",
     "cell_best_fast": f"WITH {BASE}, {ITEMS}, {CELLS}, {INSIDE}, {FAST} SELECT {SHOWN.replace('v AS V', 's.v AS V').replace('(conf ', '(s.conf ')} FROM fast",
     "cell_best_verify": f"WITH {BASE}, {READS}, {VERIFY} SELECT {SHOWN.replace('v AS V', 's.v AS V').replace('(conf ', '(s.conf ')} FROM verify",
     "ocr_verify_merge": f"WITH {ALL_CELLS} SELECT {SHOWN} FROM merged",

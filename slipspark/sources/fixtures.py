@@ -446,6 +446,15 @@ def batch_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draws_of(keyed_orders(spark, sf_dir).selectExpr(f"{CHAT_BATCH_DAY} AS draw_date").distinct())
 
 
+# Images of three sources; two have a layout of their own, one of them with cells that overlap.
+IMAGE_SOURCES = ["app", "web", "old"]
+LAYOUT_OVERRIDES = [("web", "tableX", 0.1), ("web", "rowHeight", 0.06), ("web", "colour", 1.0), ("old", "paddingY", -0.02), ("old", "groupWidth", 0.2), ("none", "tableX", 0.9)]
+
+
+def image_source(k: str) -> str:
+    return f"CASE {k} % 3 WHEN 0 THEN 'app' WHEN 1 THEN 'web' ELSE 'old' END"
+
+
 def reading_number(i: str) -> str:
     return f"((k * 5 + {i} * {i} * 7 + c) % 49 + 1)"
 
