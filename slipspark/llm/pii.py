@@ -1,16 +1,19 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Four fixed rules find the seeds: mail addresses, IPv4 addresses, card numbers, phone numbers. The two words before a seed
-are a lexical pattern, and so are those before every other token that looks like an identifier. Patterns and instances make
+Rules find the seeds: mail addresses, IPv4 addresses, card numbers, phone numbers, and secrets, which are runs of 32 or more
+hexadecimal digits. Around a seed, and around every other token that looks like an identifier, lie lexical patterns of several levels: the
+one and the two words before it, the word behind it, the words on either side, and the shape of the token itself (which of its
+characters are digits, letters, marks). Patterns and instances make
 a bipartite graph of counted edges. It is scored in turns: a pattern by the share of its instances that are known to be of
 a kind, an instance by the patterns around it. Patterns that reach ``confident`` with enough different seeds then name the
-unseen identifiers behind them. Found spans are added to the seeds', never in their place.
+unseen identifiers that have them. Found spans are added to those of the four rules, never in their place.
 
 Every rule is linear in the length of the text: runs are taken possessively, and a rule starts only where a run does.
 Texts are scanned in one map-only pass; from there on only spans, contexts and counts move. Edges are summed before the
 exchange, so a frequent pattern or instance is a few rows, not one task.
 
-Defined results: a null or empty text has no spans. Repeated rows get the same spans. Spans are code points, end exclusive.
+Defined results: a null or empty text has no spans. Identifiers and contexts have any length; where fewer than two words lie between
+two identifiers, the one before stands for a word, as ``#``. Repeated rows get the same spans. Spans are code points, end exclusive.
 Columns named like a result are replaced, others are carried along.
 """
 
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 from slipspark.functions.lets import exploded, let
 from slipspark.llm.common import written
 
+#: Kinds of the four rules, and that of the method's own seeds.
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
 
 # Fixed by the rules for the four kinds; written so that no run is walked twice. \\G is the end of the match before.
 PATTERNS = {
@@ -35,14 +40,19 @@ PATTERNS = {
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _IP_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2}|)(?:\.|$)){4}$"
 #: A token that looks like an identifier: five characters or more, a digit or an at sign among them.
-IDENTIFIER = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z._+-]*+[0-9@])[A-Za-z0-9@._+-]{4,63}[A-Za-z0-9](?![A-Za-z0-9@_+-])"
-_TWO_WORDS = r"(\S+\s+\S+)\s*$"
+IDENTIFIER = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z._+-]*+[0-9@])[A-Za-z0-9@._+-]{4,}[A-Za-z0-9](?![A-Za-z0-9@_+-])"
+#: A token that is a secret by itself: hexadecimal, with letters and digits.
+_SECRET_RULE = r"^(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}$"
+#: Two words, or one, at the end of a gap, read backwards, and the word at its start.
+_BACK_TWO, _BACK_ONE, _NEXT = r"^\s*(\S+\s+\S+)", r"^\s*(\S+)", r"^\s*(\S+)"
 
-SPAN = "array<struct<start:long,end:long,value:string,context:string>>"
+SPAN = "array<struct<start:long,end:long,value:string,context:array<string>>>"
 #: Hits that are placed in one fold; more are placed piece by piece.
 PIECE = 256
 
 ROUNDS, CONFIDENT, LEAST_SEEDS = 3, 0.8, 4
+#: Copies of a sure pattern, so that a frequent one is not one task.
+SALTS = 16
 
 
 def _fold(items: Column) -> Column:
@@ -83,16 +93,55 @@ def _placed(items: Column) -> Column:
     return let(pieces, joined)
 
 
+def shape(value: Column) -> Column:
+    """What a token looks like: its digits and letters as classes; of hexadecimal tokens the length alone."""
+    hexadecimal = value.rlike(_SECRET_RULE.replace("{32,}", "{8,}"))
+    classes = F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[A-Za-z]", "a")
+    return F.when(hexadecimal, F.concat(F.lit("hex"), F.length(value).cast("string"))).otherwise(classes)
+
+
+def _before(gap: Column, earlier: Column) -> Column:
+    """The two words before a hit, or less, backwards; what lies before the hit before counts where the gap is short."""
+    words = lambda text, pattern: F.regexp_extract(F.reverse(F.lower(text)), pattern, 1)
+    longer = F.concat(F.coalesce(earlier, F.lit("")), F.lit(" # "), gap)
+
+    def chosen(two: Column) -> Column:
+        return F.when(two != "", two).otherwise(F.when(earlier.isNull(), words(gap, _BACK_ONE)).otherwise(words(longer, _BACK_TWO)))
+
+    return let(words(gap, _BACK_TWO), chosen)
+
+
+def _patterns(hit: Column, gap: Column, earlier: Column, after: Column) -> Column:
+    """The patterns of a hit, each with its level; those that it hasn't got are left out."""
+
+    def of(w: Column) -> Column:
+        back = F.regexp_replace(w["back"], r"\s+", " ")
+        two, one, follows = F.reverse(back), F.reverse(F.substring_index(back, " ", 1)), w["next"]
+        level = lambda name, has, *parts: F.when(has, F.concat(F.lit(name), *parts))
+        return F.array_compact(
+            F.array(
+                level("2<", back.contains(" "), two),
+                level("1<", back != "", one),
+                level("1>", follows != "", follows),
+                level("<>", (back != "") & (follows != ""), one, F.lit(" # "), follows),
+                level("=", F.lit(True), shape(hit)),
+            )
+        )
+
+    words = F.struct(_before(gap, earlier).alias("back"), F.regexp_extract(F.lower(after), _NEXT, 1).alias("next"))
+    return let(words, of)
+
+
 def spans_of(text: Column, pattern: str) -> Column:
-    """All matches with place and the two words before, leftmost first: what lies between the matches gives the places."""
+    """All matches with place and patterns, leftmost first: what lies between the matches gives the places."""
 
     def both(gaps: Column) -> Column:
-        def pair(hit: Column, gap: Column) -> Column:
-            words = F.regexp_extract(F.lower(F.right(gap, F.lit(60))), _TWO_WORDS, 1)
-            return F.struct(gap.alias("gap"), hit.alias("hit"), F.when(words != "", F.regexp_replace(words, r"\s+", " ")).alias("context"))
+        def one(hit: Column, i: Column) -> Column:
+            gap = F.get(gaps, i)
+            return F.struct(gap.alias("gap"), hit.alias("hit"), _patterns(hit, gap, F.get(gaps, i - 1), F.get(gaps, i + 1)).alias("context"))
 
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        return let(hits, lambda h: F.when(F.size(h) > 0, let(F.zip_with(h, F.slice(gaps, F.lit(1), F.size(h)), pair), _placed)))
+        return let(hits, lambda h: F.when(F.size(h) > 0, let(F.transform(h, one), _placed)))
 
     return F.coalesce(let(F.split(text, pattern, -1), both), F.array().cast(SPAN))
 
@@ -139,8 +188,9 @@ def edges_of(found: DataFrame) -> DataFrame:
     """(pattern, instance, kind, n): the graph, one row per different edge; kind is null for what no rule knows."""
     parts = []
     for kind in (*KINDS, None):
-        one = exploded(found, (), f"__{kind or 'others'}", "s").where("s.context is not null")
-        parts.append(one.select(F.col("s.context").alias("pattern"), F.lower("s.value").alias("instance"), F.lit(kind).cast("string").alias("kind")))
+        one = exploded(found, (), f"__{kind or 'others'}", "s")
+        known = F.lit(kind) if kind else F.when(F.col("s.value").rlike(_SECRET_RULE), F.lit(SECRET))
+        parts.append(one.select(F.explode("s.context").alias("pattern"), F.lower("s.value").alias("instance"), known.cast("string").alias("kind")))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionAll(part)
@@ -184,16 +234,25 @@ def _count_of(kind: str) -> Column:
 def find_pii(docs: DataFrame, *, rounds: int = ROUNDS, confident: float = CONFIDENT, least_seeds: int = LEAST_SEEDS, text: str = "text") -> DataFrame:
     """Every row, without its text, with ``spans`` (kind, start, end): those of the four rules by kind, then the added ones.
 
-    Added spans have the kind ``context_<kind of the pattern>``.
+    Added spans are secrets, of that kind, and ``context_<kind of the pattern>``; of several sure patterns the best one names an
+    identifier, of equal ones the first kind.
     """
     # rows are told apart by id and text: equal rows have equal spans
     marked = docs.drop(*RESULT).withColumn("__row", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     found = written(base_spans(marked, text=text).drop(text), "pii-spans")
     patterns = score_patterns(written(edges_of(found), "pii-edges"), rounds=rounds, least_seeds=least_seeds)
-    sure = written(patterns.where((F.col("score") >= confident) & (F.col("n_seeds") >= least_seeds)).select(F.col("pattern").alias("__context"), "kind"), "pii-sure")
-
-    others = exploded(found.where("size(__others) > 0"), ("doc_id", "__row"), "__others", "s").select("doc_id", "__row", F.col("s.context").alias("__context"), "s.start", "s.end")
-    added = others.join(sure, "__context").select("doc_id", "__row", F.struct("start", "end", F.concat(F.lit("context_"), "kind").alias("kind")).alias("s"))
+    sure = written(patterns.where((F.col("score") >= confident) & (F.col("n_seeds") >= least_seeds)).select(F.col("pattern").alias("__context"), "kind", "score"), "pii-sure")
+
+    others = exploded(found.where("size(__others) > 0"), ("doc_id", "__row"), "__others", "s")
+    secrets = others.where(F.col("s.value").rlike(_SECRET_RULE)).select("doc_id", "__row", "s.start", "s.end", F.lit(SECRET).alias("kind"))
+    unknown = others.where(~F.col("s.value").rlike(_SECRET_RULE)).select("doc_id", "__row", "s.start", "s.end", F.explode("s.context").alias("__context"))
+    # a context may be frequent, and sure patterns many: then salts spread it
+    salt = F.pmod(F.xxhash64("doc_id", "__row", "start"), F.lit(SALTS)).cast("int")
+    salted = sure.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = unknown.withColumn("__salt", salt).join(salted, ["__context", "__salt"])
+    named = named.groupBy("doc_id", "__row", "start", "end").agg(F.max_by("kind", F.struct("score", F.translate("kind", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"))).alias("kind"))
+    added = secrets.unionByName(named.withColumn("kind", F.concat(F.lit("context_"), "kind")))
+    added = added.select("doc_id", "__row", F.struct("start", "end", "kind").alias("s"))
     added = added.groupBy("doc_id", "__row").agg(F.array_sort(F.collect_set("s")).alias("__added")).toDF("__id", "__hash", "__added")
     rows = found.join(added, (F.col("__row") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     plain = [_of_kind(k) for k in KINDS]
@@ -209,4 +268,5 @@ def joined(spans: Column) -> Column:
 def digest(rows: DataFrame) -> DataFrame:
     """The columns of the contract."""
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
-    return rows.select("doc_id", *map(_count_of, KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    added = F.size(F.filter("spans", lambda s: ~s["kind"].isin(*KINDS))).cast("long")
+    return rows.select("doc_id", *map(_count_of, KINDS), added.alias("n_added"), F.size("spans").cast("long").alias("n_spans"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
