@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slipspark.operators import extract as ex
 
+# Golden inputs and what they must give.
 WRAPPED_CN = "澳门彩特码10号12号14号24号\n26号32号34号36号38号40号\n42号48号一个号各下10元.4号\n14号24号34号44号一个号各下\n100元.5号15号25号35号45号\n一个号各下70元"
 LOST_CN = "澳门彩特码9号14号24号34号25号35号一\n个号各下30元,4号14号24号34号44号5\n号15号25号35号45号个号各下20元\n香港特码27号下300元"
 CUT_SLASH = "12...48..07/250..46..44..08.16.22..30.02..28\n..06..20...40..26.05..29..07..21..32..24.36/15\n0"

@@ -11,6 +11,7 @@ from slipspark.operators import summary as sm
 from slipspark.operators.report import reports
 from slipspark.sources.slips import to_long
 
+# Golden inputs and what they must give.
 LISTED = "46.47\n4.14\n24.32\n5.9二中二出50"
 POOL = "复试二中二各20\n23.22.27.06"
 # key: (pingma, lianma, fushi, special, extras, zodiac)
