@@ -105,6 +105,23 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """How many members each of a power of two of cells holds, half as many cells as members or more; 255 stands for that or more."""
+    cells = 1 << max(3, (len(members) // 2).bit_length())
+    return np.minimum(np.bincount(members & (cells - 1), minlength=cells), 255).astype(np.uint8)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """No two sets of these sketches have more common members."""
+    while len(a) != len(b):  # the cells of the coarser one are sums of the finer one's
+        if len(a) > len(b):
+            a, b = b, a
+        b = b.reshape(2, -1).astype(np.int64).sum(axis=0) if (b < 255).all() else np.full(len(b) // 2, 255)
+    if (a >= 255).any() or (b >= 255).any():
+        return 1 << 62
+    return int(np.minimum(a, b).sum())
+
+
 class Index:
     """Inverted lists of a block of sets."""
 
@@ -293,11 +310,24 @@ def _sets_of(shared, width: int) -> Callable:
             for at in range(0, len(wanted), 256):
                 made = [shingles(raw.as_py(), width) for raw in batch.column("raw").take(pa.array(wanted[at : at + 256]))]
                 key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in made), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array([s.tobytes() for s in made], pa.binary())], names=["k1", "members"])
+                columns = [pa.array([len(s) for s in made], pa.int32()), pa.array([sketch(s).tobytes() for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), *columns], names=["k1", "n", "sketch", "members"])
 
     return sets
 
 
+def _likely(percent: int) -> Callable:
+    """Of candidates with sizes and sketches, those that the sketches don't rule out."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")))
+            good = [linked(min(na, nb, overlap_bound(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))), na, nb, percent) for na, nb, x, y in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return likely
+
+
 def _verified(percent: int) -> Callable:
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,8 +396,11 @@ def classes(docs: DataFrame, *, text: str = "text", width: int = WIDTH, percent:
     chosen = rows.join(nodes, "k1", "left_semi").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("k1", "r.doc_id", "r.row")
     wanted = sc.broadcast(_filter_of(chosen))
     texts = source.select("raw", F.pmod(F.xxhash64("doc_id", "row"), F.lit(FILTER_BITS)).alias("cell"))
-    sets = written(texts.mapInArrow(_sets_of(wanted, width), "k1 long, members binary").join(nodes, "k1", "left_semi").dropDuplicates(["k1"]), "join-sets")
+    sets = written(texts.mapInArrow(_sets_of(wanted, width), "k1 long, n int, sketch binary, members binary").join(nodes, "k1", "left_semi").dropDuplicates(["k1"]), "join-sets")
 
+    # most pairs are ruled out by sketches, a sixteenth of the sets; only the others' sets move
+    seen = [sets.select(F.col("k1").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+    candidates = written(candidates.join(seen[0], "a").join(seen[1], "b").mapInArrow(_likely(percent), "a long, b long"), "join-likely")
     with_a = candidates.join(sets.select(F.col("k1").alias("a"), F.col("members").alias("sa")), "a")
     with_both = with_a.join(sets.select(F.col("k1").alias("b"), F.col("members").alias("sb")), "b")
     links = written(with_both.mapInArrow(_verified(percent), "a long, b long"), "join-links")
@@ -410,7 +443,7 @@ def _search_long(long: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
     # lists that share members are searched as one, so a text is compared with another once, not once per list
     areas = components(members.select(F.col("k1").alias("a"), F.col("first").alias("b")).distinct(), "join-areas")
     area = members.select("k1", "label").distinct().join(areas.select(F.col("node").alias("k1"), F.col("label").alias("area")), "k1")
-    area = written(area.join(sets, "k1").withColumn("bytes", F.length("members")), "join-area")
+    area = written(area.join(sets.select("k1", "members"), "k1").withColumn("bytes", F.length("members")), "join-area")
     share = area.groupBy("area", "label").agg(F.sum("bytes").alias("m"))
     largest = share.groupBy("area").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("total"))
     at_least_one = lambda size: F.greatest(F.lit(1).cast("long"), F.ceil(size / BLOCK_BYTES))

@@ -1,5 +1,6 @@
 """Digest rows of the operators against plain versions, on odd rows, empty tables and the smallest given tables."""
 
+import math
 import os
 from collections import Counter
 
@@ -56,12 +57,30 @@ def test_token_output_query(spark):
     assert got == Counter(brute.token_output(sorted(of(spark, "documents"))))
 
 
+@given
+def test_nearest_query(spark):
+    """Recall against brute force, and exact scores in exact order of what is found."""
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    vectors = {r.vec_id: r.embedding for r in table}
+    got = queries.op12_nearest(spark, SF).collect()
+    found = hits = 0
+    for q in [i for i in vectors if i % 100 == 0]:
+        near = sorted((math.dist(vectors[q], v), i) for i, v in vectors.items() if i != q)
+        mine = sorted((r["rank"], r.score, r.vec_id) for r in got if r.query_id == q)
+        assert [m[0] for m in mine] == list(range(1, 11)) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
+        distance = {i: d for d, i in near}
+        assert all(abs(distance[i] - d) < 1e-12 for _, d, i in mine)
+        hits += len({i for _, i in near[:10]} & {m[2] for m in mine})
+        found += len(mine)
+    assert len(got) == found and hits >= 0.9 * found
+
+
 @given
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     cursor = con.execute(queries.SQL[name])
     columns = [d[0] for d in cursor.description]

@@ -100,6 +100,19 @@ def test_divide_skip_finds_all_links():
         assert set(index.search(a)) == (jaccard_links(sets, s) if s else set())
 
 
+def test_sketches_never_rule_out_what_is_there():
+    rng = np.random.default_rng(2)
+    for n, m in ((0, 3), (5, 5), (60, 70), (400, 470), (3000, 3500), (127, 129)):
+        common = rng.integers(-(2**62), 2**62, min(n, m) * 2 // 3)
+        a, b = (np.unique(np.concatenate([common, rng.integers(-(2**62), 2**62, k - len(common))])) for k in (n, m))
+        bound = ngram_join.overlap_bound(ngram_join.sketch(a), ngram_join.sketch(b))
+        assert bound >= ngram_join.overlap(a, b) and (n < 60 or bound < 1.35 * min(n, m))
+    crowded = np.arange(5000) << 20  # all in one cell
+    assert ngram_join.overlap_bound(ngram_join.sketch(crowded), ngram_join.sketch(crowded[:4500])) >= 4500
+    unlike = [ngram_join.sketch(np.unique(rng.integers(-(2**62), 2**62, 500))) for _ in range(20)]
+    assert max(ngram_join.overlap_bound(x, y) for x in unlike for y in unlike if x is not y) < 400
+
+
 @pytest.mark.parametrize("short_list", [1, 3, 64])
 def test_join_of_large_groups(spark, monkeypatch, short_list):
     """Groups of near copies whose lists are long, short and mixed; pairs at the very threshold."""
