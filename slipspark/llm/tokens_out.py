@@ -37,7 +37,7 @@ MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 #: Half the bound of the runs that a worker remembers, and the length up to which it does.
 RUNS, LONG = 360_000, 64
 #: Bytes of text that are encoded together.
-PORTION = 2 << 20
+PORTION = 1 << 20
 
 LAYOUT = {
     "parquet.block.size": str(16 << 20),
