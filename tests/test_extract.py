@@ -151,3 +151,11 @@ def test_long_line_with_bets_is_quick(spark):
     slips = spark.createDataFrame([(1, m, text) for m in ("pingma", "lianma", "fushi")], "slip_id int, mode string, raw_text string")
     got = [(r.family, r.amount) for r in ex.extract(slips).orderBy("ord").collect()]
     assert [g for g in got if g[0] == "slash"] == [("slash", 2), ("slash", 6)]
+
+
+def test_a_zodiac_pool_line_is_matched_twice_only(spark):
+    """Once for the zodiacs, once for the amount; not once for every place that looks at the amount."""
+    rows = spark.createDataFrame([("马蛇龙兔复四三各十五",), ("马蛇龙兔复四三各二十元",), ("马蛇龙兔复四三十",)], "line string")
+    groups = rows.select(ex.zodiac_pool_groups(F.col("line"), F.lit("a")).alias("g"))
+    assert groups._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 2
+    assert [int(r.g[0].amount) for r in groups.collect()] == [15, 20, 10]
