@@ -29,6 +29,6 @@ def read_texts(spark: SparkSession, path: str, mode: str) -> DataFrame:
     )
 
 
-def to_long(slips: DataFrame, keys: tuple[str, ...] = ("slip_id",)) -> DataFrame:
+def to_long(slips: DataFrame, keys: tuple[str, ...] = ("slip_id",), modes: tuple[str, ...] = tuple(dims.MODES)) -> DataFrame:
     """Wide slips to (keys, mode, raw_text)."""
-    return slips.select(*keys, *dims.MODES).unpivot(list(keys), list(dims.MODES), "mode", "raw_text")
+    return slips.select(*keys, *modes).unpivot(list(keys), list(modes), "mode", "raw_text")
