@@ -16,8 +16,9 @@ How this runs on Spark:
   a list of any length spreads over partitions, and lists of one class vanish where they are read.
 * Lists of up to ``SHORT_LIST`` classes give pairs, counted against k. From a longer one each class is compared with two
   pivots only. Most of such a list is one group of near copies, and the pivots join it. Where a longer list still touches
-  several components, everything outside the largest one is searched against all of it, in blocks of bounded size, each
-  with an inverted index of its own. So no group gives all its pairs, and no link between different texts is lost.
+  several components, everything outside the largest one is compared with all of it by small sketches, in blocks of bounded
+  size; what these leave open is probed for. So no group gives all its pairs, and no link between different texts is lost.
+* What moves between tasks is entries, sketches and pairs. Sets are made only of texts that a pair is still open for.
 * Components contract: every node hooks to its smallest neighbour, and edges are rewritten, until none is left.
 
 Defined results: a null or empty text, or one of white space only, has no shingle, links with nothing and is its own
@@ -43,8 +44,8 @@ from slipspark.llm.common import claim, partitions, small_batches, utf8, written
 WIDTH, PERCENT = 4, 85
 #: Lists up to this length give all their pairs.
 SHORT_LIST = 64
-#: Bytes of sets in a block of the search within long lists, on either side.
-BLOCK_BYTES = 16_000_000
+#: Bytes of coarse sketches in a block of the search within a long list, on either side, and what else a row holds.
+BLOCK_BYTES, ROW_BYTES = 4_000_000, 40
 #: Shingles whose counts are known to every task, the most frequent first, and the count from which they matter.
 ORDERED, OFTEN = 300_000, 16
 #: Cells of the filter that tells a scan which texts to return sets of; others that slip through do no harm.
@@ -111,6 +112,12 @@ def sketch(members: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(members & (cells - 1), minlength=cells), 255).astype(np.uint8)
 
 
+def coarse(fine: np.ndarray) -> np.ndarray:
+    """The same with a quarter of the cells, but eight at least."""
+    parts = min(4, len(fine) // 8)
+    return np.where((parts_of := fine.reshape(parts, -1)).max(axis=0) == 255, 255, np.minimum(parts_of.sum(axis=0, dtype=np.int64), 255)).astype(np.uint8)
+
+
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
     """No two sets of these sketches have more common members."""
     while len(a) != len(b):  # the cells of the coarser one are sums of the finer one's
@@ -123,7 +130,7 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Index:
-    """Inverted lists of a block of sets."""
+    """Inverted lists of a block of sets: the search for one machine, which the tables of ``classes`` spread over tasks."""
 
     def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
         self.percent = percent
@@ -300,20 +307,41 @@ def _filter_of(nodes: DataFrame) -> np.ndarray:
     return made
 
 
-def _sets_of(shared, width: int) -> Callable:
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _of_nodes(source: DataFrame, rows: DataFrame, nodes: DataFrame, made: Callable, width: int, schema: str, purpose: str) -> DataFrame:
+    """One row per class of ``nodes``, which ``made`` gives from the shingles of its text. Other texts are passed over unread."""
+    chosen = rows.join(nodes, "k1", "left_semi").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("k1", "r.doc_id", "r.row")
+    wanted = source.sparkSession.sparkContext.broadcast(_filter_of(chosen))
+    texts = source.select("raw", F.pmod(F.xxhash64("doc_id", "row"), F.lit(FILTER_BITS)).alias("cell"))
+    return written(texts.mapInArrow(_of_wanted(wanted, width, made), schema).join(nodes, "k1", "left_semi").dropDuplicates(["k1"]), purpose)
+
+
+def _of_wanted(shared, width: int, made: Callable) -> Callable:
+    def of_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("ngram_join", _HASHES.clear)
         bits = shared.value
         for batch in batches:
             cell = batch.column("cell").to_numpy()
             wanted = np.flatnonzero((bits[cell >> 5] >> (cell & 31).astype(np.uint32)) & 1)
             for at in range(0, len(wanted), 256):
-                made = [shingles(raw.as_py(), width) for raw in batch.column("raw").take(pa.array(wanted[at : at + 256]))]
-                key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in made), np.int64).reshape(-1, 2)
-                columns = [pa.array([len(s) for s in made], pa.int32()), pa.array([sketch(s).tobytes() for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), *columns], names=["k1", "n", "sketch", "members"])
+                found = [shingles(raw.as_py(), width) for raw in batch.column("raw").take(pa.array(wanted[at : at + 256]))]
+                key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in found), np.int64).reshape(-1, 2)
+                columns = made(found)
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), *columns.values()], names=["k1", *columns])
+
+    return of_wanted
+
+
+def _sketched(found: list[np.ndarray]) -> dict[str, pa.Array]:
+    fine = [sketch(s) for s in found]
+    return {
+        "n": pa.array([len(s) for s in found], pa.int32()),
+        "sketch": pa.array([s.tobytes() for s in fine], pa.binary()),
+        "coarse": pa.array([coarse(s).tobytes() for s in fine], pa.binary()),
+    }
 
-    return sets
+
+def _members(found: list[np.ndarray]) -> dict[str, pa.Array]:
+    return {"members": pa.array([s.tobytes() for s in found], pa.binary())}
 
 
 def _likely(percent: int) -> Callable:
@@ -340,22 +368,87 @@ def _verified(percent: int) -> Callable:
     return verified
 
 
-def _search_block(percent: int) -> Callable:
-    def search_block(group: pd.DataFrame) -> pd.DataFrame:
-        """Links of the block's queries with its targets: one per query and component, which joins them as well as all would."""
-        targets, queries = group[~group["is_query"]], group[group["is_query"]]
-        index = Index([np.frombuffer(s, np.int64) for s in targets["members"]], percent)
-        keys, labels = targets["k1"].to_numpy(), targets["label"].to_numpy()
-        links = []
-        for key, label, members in zip(queries["k1"], queries["label"], queries["members"]):
-            reached = {label}
-            for i in index.search(np.frombuffer(members, np.int64)):
-                if labels[i] not in reached:
-                    reached.add(labels[i])
-                    links.append((key, keys[i]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return search_block
+def _bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``overlap_bound`` of sketches row by row; those of a side have the same number of cells."""
+    full = (a == 255).any(axis=1) | (b == 255).any(axis=1)
+    if a.shape[1] < b.shape[1]:
+        a, b = b, a
+    if a.shape[1] > b.shape[1]:
+        a = a.reshape(len(a), -1, b.shape[1]).sum(axis=1, dtype=np.int64)
+    return np.where(full, 1 << 62, np.minimum(a, b).sum(axis=1, dtype=np.int64))
+
+
+class _Side:
+    """Entries of lists in the order of (list, n), and their sketches by number of cells."""
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values(["token", "n"], kind="stable")
+        self.token, self.k1, self.n, self.label, self.outside = (rows[c].to_numpy() for c in ("token", "k1", "n", "label", "outside"))
+        self.n = self.n.astype(np.int64)
+        sketches = rows["coarse"].to_numpy()
+        self.cells = np.fromiter(map(len, sketches), np.int64, len(rows))
+        self.at, self.by_cells = np.zeros(len(rows), np.int64), {}
+        for c in np.unique(self.cells):
+            own = np.flatnonzero(self.cells == c)
+            self.at[own] = np.arange(len(own))
+            self.by_cells[c] = np.frombuffer(b"".join(sketches[own]), np.uint8).reshape(len(own), c)
+
+
+def _bounds_of(queries: _Side, q: np.ndarray, targets: _Side, t: np.ndarray) -> np.ndarray:
+    most = np.zeros(len(q), np.int64)
+    for c, x in queries.by_cells.items():
+        for d, y in targets.by_cells.items():
+            own = np.flatnonzero((queries.cells[q] == c) & (targets.cells[t] == d))
+            some = max(1, 16_000_000 // int(max(c, d)))
+            for at in range(0, len(own), some):
+                part = own[at : at + some]
+                most[part] = _bounds(x[queries.at[q[part]]], y[targets.at[t[part]]])
+    return np.minimum(most, np.minimum(queries.n[q], targets.n[t]))
+
+
+def _search_lists(percent: int) -> Callable:
+    def search_lists(group: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of queries with targets of other components in the same list that their coarse sketches don't rule out."""
+        targets, queries = _Side(group[~group["is_query"]]), _Side(group[group["is_query"]])
+        lists = np.unique(targets.token)
+        nth, own = np.searchsorted(lists, targets.token), np.searchsorted(lists, queries.token)
+        known = own < len(lists)
+        known[known] = lists[own[known]] == queries.token[known]
+        order = (nth << 32) + targets.n
+        low = np.searchsorted(order, (own << 32) + -(-percent * queries.n // 100))
+        high = np.where(known, np.searchsorted(order, (own << 32) + 100 * queries.n // percent, "right"), low)
+        ends = np.cumsum(np.maximum(high - low, 0))
+        found = [np.zeros((4, 0), np.int64)]
+        at = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+            count = np.maximum(high[at:to] - low[at:to], 0)
+            q = np.repeat(np.arange(at, to), count)
+            t = np.arange(len(q)) - np.repeat(np.cumsum(count) - count, count) + low[q]
+            # of two that are both queries and targets, one asks
+            asked = (targets.label[t] != queries.label[q]) & (~targets.outside[t] | (targets.k1[t] > queries.k1[q]))
+            q, t = q[asked], t[asked]
+            most = _bounds_of(queries, q, targets, t)
+            good = 100 * most >= percent * (queries.n[q] + targets.n[t] - most)
+            q, t = q[good], t[good]
+            found.append(np.stack([queries.k1[q], queries.label[q], targets.k1[t], targets.label[t]]))
+            at = to
+        return pd.DataFrame(dict(zip(("a", "la", "b", "lb"), np.concatenate(found, axis=1)))).drop_duplicates()
+
+    return search_lists
+
+
+def _possible(candidates: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those that sketches don't rule out. Sketches are a sixteenth of the sets."""
+    seen = [sketches.select(F.col("k1").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+    return written(candidates.select("a", "b").join(seen[0], "a").join(seen[1], "b").mapInArrow(_likely(percent), "a long, b long"), "join-likely")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those that link."""
+    with_a = pairs.select("a", "b").join(sets.select(F.col("k1").alias("a"), F.col("members").alias("sa")), "a")
+    with_both = with_a.join(sets.select(F.col("k1").alias("b"), F.col("members").alias("sb")), "b")
+    return written(with_both.mapInArrow(_verified(percent), "a long, b long"), "join-links")
 
 
 def classes(docs: DataFrame, *, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -393,20 +486,15 @@ def classes(docs: DataFrame, *, text: str = "text", width: int = WIDTH, percent:
     candidates = written(counted.where(reach).select("a", "b").unionAll(pivots).distinct(), "join-candidates")
 
     nodes = candidates.select(F.col("a").alias("k1")).unionAll(candidates.select("b")).unionAll(long.select("k1")).distinct()
-    chosen = rows.join(nodes, "k1", "left_semi").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("k1", "r.doc_id", "r.row")
-    wanted = sc.broadcast(_filter_of(chosen))
-    texts = source.select("raw", F.pmod(F.xxhash64("doc_id", "row"), F.lit(FILTER_BITS)).alias("cell"))
-    sets = written(texts.mapInArrow(_sets_of(wanted, width), "k1 long, n int, sketch binary, members binary").join(nodes, "k1", "left_semi").dropDuplicates(["k1"]), "join-sets")
+    sketches = _of_nodes(source, rows, written(nodes, "join-nodes"), _sketched, width, "k1 long, n int, sketch binary, coarse binary", "join-sketches")
+    sets_of = lambda pairs: _of_nodes(source, rows, written(pairs.select(F.col("a").alias("k1")).unionAll(pairs.select("b")).distinct(), "join-nodes"), _members, width, "k1 long, members binary", "join-sets")
 
-    # most pairs are ruled out by sketches, a sixteenth of the sets; only the others' sets move
-    seen = [sets.select(F.col("k1").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
-    candidates = written(candidates.join(seen[0], "a").join(seen[1], "b").mapInArrow(_likely(percent), "a long, b long"), "join-likely")
-    with_a = candidates.join(sets.select(F.col("k1").alias("a"), F.col("members").alias("sa")), "a")
-    with_both = with_a.join(sets.select(F.col("k1").alias("b"), F.col("members").alias("sb")), "b")
-    links = written(with_both.mapInArrow(_verified(percent), "a long, b long"), "join-links")
+    # most pairs are ruled out by sketches; sets are made of the others only
+    candidates = _possible(candidates, sketches, percent)
+    links = _links(candidates, sets_of(candidates), percent)
     labels = components(links, "join")
 
-    more = _search_long(long.select("token", "k1", "n"), sets, labels, percent)
+    more = _search_long(long.select("token", "k1", "n"), sketches, sets_of, labels, percent)
     if more is not None:
         labels = components(links.unionAll(more), "join-all")
     return rows, labels
@@ -425,12 +513,13 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(lists.where("lo <> hi").select("token", "first", "size"), "token")
 
 
-def _search_long(long: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
-    """Links that pivots left open in long lists (token, k1, n); None if every such list lies within one component.
+def _search_long(long: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], labels: DataFrame, percent: int) -> DataFrame | None:
+    """Links that pivots left open in long lists (token, k1, n); None if no two texts of different components can link there.
 
     A pair that meets in a short list has been counted. Any other one shares all the hits it needs, k, in lists of several
     components. If each text passes over its k - 1 longest of these, lists taken in one order for all, the shortest list that the two
-    share is still among those of both. That cuts the ties between groups which only common passages hold together.
+    share is still among those of both. Each such list is searched for itself, so what moves grows with the entries and not with
+    whole texts times texts; a list is dealt in blocks of bounded size.
     """
     known = labels.select(F.col("node").alias("k1"), "label")
     members = long.join(known, "k1", "left").withColumn("label", F.coalesce("label", "k1"))
@@ -439,22 +528,34 @@ def _search_long(long: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
         return None
     rank = F.row_number().over(Window.partitionBy("k1").orderBy(F.desc("size"), "token"))
     needed = members.withColumn("rank", rank).where(F.col("rank") > _spare("n", percent)).select("token", "k1", "label")
-    members = written(_mixed(needed), "join-needed")
-    # lists that share members are searched as one, so a text is compared with another once, not once per list
-    areas = components(members.select(F.col("k1").alias("a"), F.col("first").alias("b")).distinct(), "join-areas")
-    area = members.select("k1", "label").distinct().join(areas.select(F.col("node").alias("k1"), F.col("label").alias("area")), "k1")
-    area = written(area.join(sets.select("k1", "members"), "k1").withColumn("bytes", F.length("members")), "join-area")
-    share = area.groupBy("area", "label").agg(F.sum("bytes").alias("m"))
-    largest = share.groupBy("area").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("total"))
+    entries = _mixed(needed).select("token", "k1", "label").join(sketches.select("k1", "n", "coarse"), "k1")
+    entries = written(entries.withColumn("bytes", F.length("coarse") + ROW_BYTES), "join-needed")
+    share = entries.groupBy("token", "label").agg(F.sum("bytes").alias("m"))
+    largest = share.groupBy("token").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("total"))
     at_least_one = lambda size: F.greatest(F.lit(1).cast("long"), F.ceil(size / BLOCK_BYTES))
-    sized = largest.select("area", F.col("top.label").alias("top"), at_least_one(F.col("total")).alias("blocks"), at_least_one(F.col("total") - F.col("top.m")).alias("askers"))
-    rows = area.join(sized, "area").withColumn("outside", F.col("label") != F.col("top"))
+    sized = largest.select("token", F.col("top.label").alias("top"), at_least_one(F.col("total")).alias("blocks"), at_least_one(F.col("total") - F.col("top.m")).alias("askers"))
+    every = entries.join(sized, "token").withColumn("outside", F.col("label") != F.col("top"))
     place = F.pmod(F.xxhash64("k1"), F.col("blocks"))
     turn = F.pmod(F.xxhash64("k1", F.lit(1)), F.col("askers"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    targets = rows.select("area", "k1", "label", "members", F.lit(False).alias("is_query"), place.alias("block"), upto("askers").alias("turn"))
-    queries = rows.where("outside").select("area", "k1", "label", "members", F.lit(True).alias("is_query"), upto("blocks").alias("block"), turn.alias("turn"))
-    return written(targets.unionByName(queries).groupBy("area", "block", "turn").applyInPandas(_search_block(percent), "a long, b long"), "join-more")
+    # lists of one block go together, up to about a block's bytes; longer ones are on their own
+    together = F.pmod(F.xxhash64("token"), F.lit(max(1, -(-(entries.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES))))
+    part = F.when(F.col("blocks") > 1, F.col("token")).otherwise(together)
+    columns = ["token", "k1", "n", "label", "coarse", "outside", (F.col("blocks") > 1).alias("alone"), part.alias("part")]
+    targets = every.select(*columns, F.lit(False).alias("is_query"), place.alias("block"), upto("askers").alias("turn"))
+    queries = every.where("outside").select(*columns, F.lit(True).alias("is_query"), upto("blocks").alias("block"), turn.alias("turn"))
+    pairs = targets.unionByName(queries).groupBy("alone", "part", "block", "turn").applyInPandas(_search_lists(percent), "a long, la long, b long, lb long")
+    pairs = written(pairs.distinct(), "join-met")
+    if pairs.isEmpty():
+        return None
+    possible = pairs.join(_possible(pairs, sketches, percent), ["a", "b"])
+    possible = written(possible, "join-possible")
+    sets = sets_of(possible)
+    # one link joins a text with a component as well as all would: one pair of the two is tried, and the others where it fails
+    first = possible.groupBy("a", "lb").agg(F.min("b").alias("b"))
+    found = _links(first, sets, percent)
+    done = found.join(possible, ["a", "b"]).select("a", "lb")
+    return found.unionAll(_links(possible.join(first, ["a", "b"], "left_anti").join(done, ["a", "lb"], "left_anti"), sets, percent))
 
 
 def join(docs: DataFrame, *, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
