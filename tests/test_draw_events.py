@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from slipspark.operators import draws as dr
@@ -52,3 +53,82 @@ def test_equals_the_table_over_batches_and_a_restart(spark):
     last = {r.lottery_type: r for r in draw_events.last_draws(spark, f"{out}/checkpoint").collect()}
     want = {r.lottery_type: r for r in table.groupBy("lottery_type").agg(F.max_by("issue", F.struct(*order)).alias("issue"), F.unix_micros(F.max("synced_at")).alias("t")).collect()}
     assert {k: (r.t, r.issue) for k, r in last.items() if k != "end"} == {k: (r.t, r.issue) for k, r in want.items()}
+
+
+class _State:
+    """A store's list or value in memory; ``most`` is the greatest number of values it has held."""
+
+    def __init__(self):
+        self.held, self.most = [], 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return list(self.held) if self.many else self.held[0]
+
+    many = False
+
+    def update(self, value):
+        self.held = [value]
+
+    def appendValue(self, value):
+        self.held.append(value)
+        self.most = max(self.most, len(self.held))
+
+    def appendList(self, values):
+        for v in values:
+            self.appendValue(v)
+
+    def put(self, values):
+        self.held = []
+        self.appendList(values)
+
+    def clear(self):
+        self.held = []
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getListState(self, name, _):
+        self.states[name] = _State()
+        self.states[name].many = True
+        return self.states[name]
+
+    def getValueState(self, name, _):
+        return self.states.setdefault(name, _State())
+
+    def registerTimer(self, at):
+        pass
+
+    def deleteTimer(self, at):
+        pass
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_waiting_draws_are_kept_in_packs():
+    rng = random.Random(7)
+    rows = [(rng.randrange(5_000_000), f"{i:020d}", rng.choice("ab"), rng.choice("xyz")) for i in range(20_000)]
+    events, handle = draw_events._Events(), _Handle()
+    events.init(handle)
+    got = []
+    for at, ms in ((0, 1_000), (10_000, 6_000)):  # some of the first rows wait longer; what came late is compared in its turn
+        part = [r for r in rows[at : at + 10_000]] if at == 0 else [r for r in rows[at:] if r[0] > 1_000_000]
+        list(events.handleInputRows(("am",), iter([pd.DataFrame(part, columns=["t", "tie", "issue", "inputs"])]), None) or ())
+        got += [tuple(r) for frame in events.handleExpiredTimer(("am",), _Clock(ms), None) for r in frame.itertuples(index=False)]
+    want, before = [], (None, None)
+    for t, tie, issue, inputs in sorted(rows[:10_000] + [r for r in rows[10_000:] if r[0] > 1_000_000]):
+        want.append(("am", t, tie, issue, before[0] != issue, before[1] != inputs))
+        before = (issue, inputs)
+    assert got == want
+    assert handle.states["waiting"].most <= 4 and not handle.states["waiting"].exists()  # not one value per draw
+    assert tuple(handle.states["last"].get())[1:] == before
