@@ -506,5 +506,6 @@ def test_texts_tied_by_passages_do_not_move_times_each_other(spark, monkeypatch)
     frame.count()
     before = _shuffled(spark)
     got = {r.doc_id: r.component_id for r in ngram_join.join(frame).collect()}
-    assert _shuffled(spark) - before < 20_000_000  # texts times texts would be 150 MB
+    moved = _shuffled(spark) - before
+    assert moved < 12_000_000, moved  # sets of all texts against all took 24 MB
     assert got == {i: i - 150 if i >= 150 else i for i in range(160)}
